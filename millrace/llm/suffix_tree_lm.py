@@ -10,6 +10,8 @@ longer context that stays needs it. Distributions are smoothed towards the paren
 symbols seen (Witten and Bell), and the root's towards all code points evenly. Scoring takes the longest suffix state of the
 tree for each symbol.
 
+The `most_joints` joints seen most often are priced once and broadcast; others are priced where they occur.
+
 The base score is the add-0.1 unigram score of the contract. Words that hold at least 1 / `most_words` of all tokens are at
 most `most_words` and are broadcast; all others are joined by word, after each text has counted its own.
 
@@ -26,17 +28,18 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import fold, mix, words_of, written
+from millrace.llm.common import fold, mix, release, written
 
 START, END = 0x110000, 0x110001
 CODE_POINTS = 0x110002
 #: Symbols on either side of a joint.
 REACH = 3
 #: Distinct keys that a Python worker holds before it passes their counts on.
-HELD_WORDS = 400_000
+HELD_WORDS = 800_000
 #: Characters of words that are worked on at once, and words of texts.
 BLOCK, WORDS = 2_000_000, 800_000
 
@@ -84,11 +87,23 @@ def _blocks(words: list[bytes]) -> Iterator[tuple[int, int]]:
     yield from zip(cuts[:-1], cuts[1:], strict=True)
 
 
-def _find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    if not len(table):
-        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
-    at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
-    return at, table[at] == keys
+class Keys:
+    """Sorted hashes with a table of where each prefix of bits begins; they are even, so a look-up takes a step or two."""
+
+    def __init__(self, keys: np.ndarray) -> None:
+        self.bits = max(1, len(keys).bit_length())
+        self.keys = np.append(keys, np.uint64(2**64 - 1))
+        self.first = np.searchsorted(keys, np.arange(1 << self.bits, dtype=np.uint64) << np.uint64(64 - self.bits)).astype(np.int32)
+        self.n = len(keys)
+
+    def find(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Index of each hash, where it is one of the keys; and whether it is."""
+        at = self.first[(wanted >> np.uint64(64 - self.bits)).astype(np.int64)]
+        less = np.flatnonzero(self.keys[at] < wanted)
+        while len(less):
+            at[less] += 1
+            less = less[self.keys[at[less]] < wanted[less]]
+        return np.minimum(at, max(self.n - 1, 0)), (self.keys[at] == wanted) & (at < self.n)
 
 
 class Tree:
@@ -108,23 +123,29 @@ class Tree:
             stay = np.ones(len(ids), bool)
             if d and len(ids):
                 up_ids, up_total, _, up_edges, up_n = raw[-1][:5]
-                at, _ = _find(up_ids, parent)
-                e, seen = _find(up_edges, mix(parent * np.uint64(31) + sym.astype(np.uint64)))
+                at, _ = Keys(up_ids).find(parent)
+                e, seen = Keys(up_edges).find(mix(parent * np.uint64(31) + sym.astype(np.uint64)))
                 above = np.where(seen, up_n[e] / up_total[at], 1.0 / CODE_POINTS)
                 stay = np.bincount(inv, n * np.log(n / total[inv] / above), len(ids)) > gain * kinds
             raw.append([ids, total, kinds, edge[order], n[order], parent[first] if len(ids) else ids, stay, inv[order]])
         for d in range(len(raw) - 1, 0, -1):
             raw[d - 1][6] |= np.isin(raw[d - 1][0], raw[d][5][raw[d][6]])
-        self.levels = [(x[0][x[6]], x[1][x[6]], x[2][x[6]], x[3][keep := x[6][x[7]] if len(x[7]) else np.zeros(0, bool)], x[4][keep]) for x in raw]
-
-    def walk(self, codes: np.ndarray, reach: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
-        """Probability of each symbol at the positions, in its longest suffix state."""
-        p = np.full(len(codes), 1.0 / CODE_POINTS)
-        for (where, h, _), (ids, total, kinds, edges, n) in zip(contexts(codes, reach, at, depth), self.levels, strict=False):
-            k, inside = _find(ids, h)
+        self.levels = [(Keys(x[0][x[6]]), x[1][x[6]], x[2][x[6]], Keys(x[3][keep := x[6][x[7]] if len(x[7]) else np.zeros(0, bool)]), x[4][keep]) for x in raw]
+
+    def walk(self, codes: np.ndarray, reach: np.ndarray, at: np.ndarray, depth: int, known: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+        """Probability of each symbol at the positions, in its longest suffix state. known: probabilities of all symbols in
+        states up to a length, and that length, so that only longer contexts are looked up."""
+        p = np.full(len(codes), 1.0 / CODE_POINTS) if known is None else known[0].copy()
+        for d, ((where, h, _), (ids, total, kinds, edges, n)) in enumerate(zip(contexts(codes, reach, at, depth), self.levels, strict=False)):
+            if known is not None:
+                longer = d > known[1][where]
+                where, h = where[longer], h[longer]
+            if not len(where) or not ids.n:
+                continue
+            k, inside = ids.find(h)
             if inside.any():
                 w, c, k = where[inside], h[inside], k[inside]
-                e, seen = _find(edges, mix(c * np.uint64(31) + codes[w].astype(np.uint64)))
+                e, seen = edges.find(mix(c * np.uint64(31) + codes[w].astype(np.uint64)))
                 p[w] = (np.where(seen, n[e] if len(n) else 0.0, 0.0) + kinds[k] * p[w]) / (total[k] + kinds[k])
         return p[at]
 
@@ -144,42 +165,49 @@ class Tree:
             return np.zeros(0)
         codes, place, index, owner = _joint_symbols(joints)
         at = np.flatnonzero(place > 0)
-        far = self.walk(codes, index, at, 2 * REACH)
-        near = self.walk(codes, np.minimum(place, self.depth), at, min(self.depth, 2 * REACH))
-        return np.bincount(owner[at], np.log10(far / near), len(joints))
+        # Without the word before, the symbols' probabilities depend on the heads alone.
+        heads, inv = np.unique(np.array([j[j.index(b" ") :] for j in joints], object), return_inverse=True)
+        h_codes, h_place, _, h_owner = _joint_symbols(list(heads))
+        h_at = np.flatnonzero(h_place > 0)
+        table = np.ones((len(heads), REACH + 1))
+        table[h_owner[h_at], h_place[h_at]] = self.walk(h_codes, np.minimum(h_place, self.depth), h_at, min(self.depth, REACH))
+        near = np.ones(len(codes))
+        near[at] = table[inv[owner[at]], place[at]]
+        far = self.walk(codes, index, at, 2 * REACH, (near, place))
+        return np.bincount(owner[at], np.log10(far / near[at]), len(joints))
 
 
 class Texts:
     """The words of some texts: number of each distinct word and joint in each text."""
 
-    def __init__(self, texts: list[str | None]) -> None:
-        words: list[bytes] = []
-        sizes = []
-        for t in texts:
-            found = words_of(t)
-            words += found
-            sizes.append(len(found))
-        self.sizes = np.array(sizes, np.int64)
-        held = np.empty(len(words), object)
-        held[:] = words
-        codes, unique = pd.factorize(held)
-        self.words = list(unique)
-        self.text = np.repeat(np.arange(len(texts)), self.sizes)
-        self.codes = codes
+    def __init__(self, texts: pa.Array) -> None:
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null("")))
+        flat = lists.flatten()
+        text = np.repeat(np.arange(len(texts)), lists.value_lengths().to_numpy())
+        full = pc.greater(pc.binary_length(flat), 0)
+        if not pc.all(full, min_count=0).as_py():
+            flat, text = flat.filter(full), text[full.to_numpy(zero_copy_only=False)]
+        self.sizes = np.bincount(text, minlength=len(texts))
+        coded = flat.dictionary_encode()
+        self.words = coded.dictionary.cast(pa.binary()).to_pylist()
+        self.text = text
+        codes = self.codes = coded.indices.to_numpy().astype(np.int64)
         plain = [w.decode("utf-8", "surrogatepass") for w in self.words]
         tails, self.tails = pd.factorize(np.array([w[-REACH:] for w in plain], object)) if plain else (codes, [])
         heads, self.heads = pd.factorize(np.array([(w + "\n")[:REACH] for w in plain], object)) if plain else (codes, [])
+        self.tails = [t.encode("utf-8", "surrogatepass") + b" " for t in self.tails]
+        self.heads = [t.encode("utf-8", "surrogatepass") for t in self.heads]
         inner = np.flatnonzero(self.text[1:] == self.text[:-1]) if len(codes) else np.zeros(0, np.int64)
         self.pair_text = self.text[inner]
         self.pairs = tails[codes[inner]].astype(np.int64) << 32 | heads[codes[inner + 1]]
 
     def joint(self, pair: int) -> bytes:
-        return f"{self.tails[pair >> 32]} {self.heads[pair & 0xFFFFFFFF]}".encode("utf-8", "surrogatepass")
+        return self.tails[pair >> 32] + self.heads[pair & 0xFFFFFFFF]
 
 
-def in_parts(texts: list[str | None]) -> Iterator[tuple[int, int]]:
+def in_parts(texts: pa.Array) -> Iterator[tuple[int, int]]:
     """Stretches of texts with about WORDS words each."""
-    sizes = np.cumsum([len(t or "") // 6 + 1 for t in texts])
+    sizes = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False) // 6 + 1)
     cuts = np.unique(np.concatenate([[0], np.searchsorted(sizes, np.arange(WORDS, sizes[-1], WORDS)), [len(texts)]])) if len(texts) else [0]
     yield from zip(cuts[:-1], cuts[1:], strict=True)
 
@@ -200,7 +228,7 @@ def word_counts(docs: DataFrame, held_out: int) -> DataFrame:
                     held.clear()
 
         for b in batches:
-            texts = b.column(1).to_pylist()
+            texts = b.column(1)
             outs = np.array(b.column(0).to_pylist(), bool)
             for lo, hi in in_parts(texts):
                 t = Texts(texts[lo:hi])
@@ -224,35 +252,45 @@ def word_counts(docs: DataFrame, held_out: int) -> DataFrame:
 JOINT = "locate(' ', cast(word as string)) > 0"
 
 
+def _positions(words: list[bytes], weight: list[int], depth: int) -> Iterator[tuple[bool, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Of a block of words and joints: whether joints, context length, symbols, context hashes, parents' hashes, weights."""
+    plain = [(w, n) for w, n in zip(words, weight, strict=True) if b" " not in w]
+    if plain:
+        codes, place = _flat([w for w, _ in plain])
+        n = np.array([n for _, n in plain])[np.cumsum(codes == START) - 1]
+        for d, (at, h, parent) in enumerate(contexts(codes, place, np.flatnonzero(place > 0), depth)):
+            yield False, d, codes[at], h, parent, n[at]
+    joints = [(w, n) for w, n in zip(words, weight, strict=True) if b" " in w]
+    if joints:
+        codes, place, index, owner = _joint_symbols([w for w, _ in joints])
+        n = np.array([n for _, n in joints])[owner]
+        for d, (at, h, parent) in enumerate(contexts(codes, index, np.flatnonzero(place > 0), 2 * REACH)):
+            over = d > place[at]
+            yield True, d, codes[at[over]], h[over], parent[over], n[at[over]]
+
+
+def _summed(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each distinct key: a row that has it, and its sum of n."""
+    order = np.argsort(key)
+    key = key[order]
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    return order[first], np.add.reduceat(n[order], first)
+
+
 def build_tree(counts: DataFrame, depth: int, share: int, gain: float) -> Tree:
-    """From the training counts of words and joints; the frequent contexts come to the driver, at most share for each length."""
-
-    def rows_of(level: int, codes: np.ndarray, at: np.ndarray, h: np.ndarray, parent: np.ndarray, weight: np.ndarray) -> Iterator[pa.RecordBatch]:
-        if not len(at):
-            return
-        key = mix(h * np.uint64(31) + codes[at].astype(np.uint64))
-        order = np.argsort(key)
-        key = key[order]
-        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        pick = order[first]
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(first), level, np.int8)), pa.array(h[pick].view(np.int64)), pa.array(parent[pick].view(np.int64)), pa.array(codes[at[pick]].astype(np.int32)), pa.array(np.add.reduceat(weight[order], first))], ["level", "ctx", "parent", "sym", "n"])
-
-    def out(words: list[bytes], weight: list[int]) -> Iterator[pa.RecordBatch]:
-        plain = [(w, n) for w, n in zip(words, weight, strict=True) if b" " not in w]
-        if plain:
-            codes, place = _flat([w for w, _ in plain])
-            n = np.array([n for _, n in plain])[np.cumsum(codes == START) - 1]
-            for d, (at, h, parent) in enumerate(contexts(codes, place, np.flatnonzero(place > 0), depth)):
-                yield from rows_of(d, codes, at, h, parent, n[at])
-        joints = [(w, n) for w, n in zip(words, weight, strict=True) if b" " in w]
-        if joints:
-            codes, place, index, owner = _joint_symbols([w for w, _ in joints])
-            n = np.array([n for _, n in joints])[owner]
-            for d, (at, h, parent) in enumerate(contexts(codes, index, np.flatnonzero(place > 0), 2 * REACH)):
-                over = d > place[at]
-                yield from rows_of(d, codes, at[over], h[over], parent[over], n[at[over]])
+    """From the training counts of words and joints, in two passes over blocks of them.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    A context that holds 1 / share of all symbols holds as much of some block, so the first pass names a few candidates for
+    each block (at most share a length); the second counts the candidates' next symbols everywhere. The frequent ones come
+    to the driver. Nothing else is shuffled.
+    """
+    spark = counts.sparkSession
+    trained = counts.where("c > 0 and length(word) > 0")
+    symbols, joined = trained.agg(F.sum(F.when(F.expr(f"not {JOINT}"), F.col("c") * (F.length("word") + 1))), F.sum(F.when(F.expr(JOINT), F.col("c") * REACH))).first()
+    symbols, joined = symbols or 0, joined or 0
+    floor = max(2, symbols // share)
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[bytes], list[int]]]:
         words: list[bytes] = []
         weight: list[int] = []
         size = 0
@@ -262,22 +300,43 @@ def build_tree(counts: DataFrame, depth: int, share: int, gain: float) -> Tree:
                 weight.append(n)
                 size += len(word) + 2
                 if size > BLOCK:
-                    yield from out(words, weight)
+                    yield words, weight
                     words, weight, size = [], [], 0
-        yield from out(words, weight)
-
-    trained = counts.where("c > 0 and length(word) > 0")
-    symbols = trained.where(f"not {JOINT}").agg(F.sum(F.col("c") * (F.length("word") + 1))).first()[0] or 0
-    floor = max(2, symbols // share)
-    rows = trained.select("word", "c").mapInArrow(run, "level byte, ctx long, parent long, sym int, n long")
-    table = rows.groupBy("level", "ctx", "parent", "sym").agg(F.sum("n").alias("n"))
-    per = table.groupBy("ctx").agg(F.collect_list(F.struct("level", "parent", "sym", "n")).alias("x"), F.sum("n").alias("t")).where(F.col("t") >= floor)
-    got = per.select("ctx", F.inline("x")).toArrow()
+        if words:
+            yield words, weight
+
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for words, weight in blocks(batches):
+            joints = [b" " in w for w in words]
+            here = {k: sum((REACH if k else len(w) + 1) * n for w, n, j in zip(words, weight, joints, strict=True) if j == k) for k in (False, True)}
+            for joint, _, _, h, _, n in _positions(words, weight, depth):
+                if len(h):
+                    pick, total = _summed(h, n)
+                    yield pa.RecordBatch.from_arrays([pa.array(h[pick[total >= floor * here[joint] / max(joined if joint else symbols, 1)]].view(np.int64))], ["ctx"])
+
+    found = trained.select("word", "c").mapInArrow(name, "ctx long").distinct().toArrow()
+    names = spark.sparkContext.broadcast(np.sort(found.column(0).to_numpy().view(np.uint64)) if found.num_rows else np.zeros(0, np.uint64))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = Keys(names.value)
+        for words, weight in blocks(batches):
+            for _, d, sym, h, parent, n in _positions(words, weight, depth):
+                keep = table.find(h)[1]
+                sym, h, parent, n = sym[keep], h[keep], parent[keep], n[keep]
+                if len(h):
+                    pick, total = _summed(mix(h * np.uint64(31) + sym.astype(np.uint64)), n)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(pick), d, np.int8)), pa.array(h[pick].view(np.int64)), pa.array(parent[pick].view(np.int64)), pa.array(sym[pick].astype(np.int32)), pa.array(total)], ["level", "ctx", "parent", "sym", "n"])
+
+    rows = trained.select("word", "c").mapInArrow(count, "level byte, ctx long, parent long, sym int, n long")
+    got = rows.groupBy("level", "ctx", "parent", "sym").agg(F.sum("n").alias("n")).toArrow()
     col = lambda k: got.column(k).to_numpy()
-    return Tree({"level": col("level"), "ctx": col("ctx").view(np.uint64), "parent": col("parent").view(np.uint64), "sym": col("sym").astype(np.int64), "n": col("n")}, depth, gain)
+    ctx, n = col("ctx").view(np.uint64), col("n")
+    ids, inv = np.unique(ctx, return_inverse=True)
+    keep = np.bincount(inv, n, len(ids))[inv] >= floor
+    return Tree({"level": col("level")[keep], "ctx": ctx[keep], "parent": col("parent").view(np.uint64)[keep], "sym": col("sym").astype(np.int64)[keep], "n": n[keep]}, depth, gain)
 
 
-def lm_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", held_out: int = 10, depth: int = 8, share: int = 100_000, gain: float = 0.7, most_words: int = 50_000) -> DataFrame:
+def lm_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", held_out: int = 10, depth: int = 5, share: int = 100_000, gain: float = 0.7, most_words: int = 400_000, most_joints: int = 300_000) -> DataFrame:
     """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -290,7 +349,9 @@ def lm_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     # A text is words and an end: the end's share among training tokens is its probability, the others' go to words.
     end = math.log10((texts + 0.5) / (total + 1))
     go = math.log10((total - texts + 0.5) / (total + 1))
-    tree = spark.sparkContext.broadcast(build_tree(counts, depth, share, gain))
+    tree_here = build_tree(counts, depth, share, gain)
+    tree = spark.sparkContext.broadcast(tree_here)
+    release(spark)
     end_base = math.log10(texts + 0.1) - base
 
     def priced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -303,12 +364,16 @@ def lm_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     top = prices.where(F.col("a") >= least).orderBy(F.desc("a"), "word").limit(most_words).toArrow()
     index = {w: i for i, w in enumerate(top.column("word").to_pylist())}
     heavy = spark.sparkContext.broadcast((index, np.array([top.column(k).to_numpy().astype(np.float64) for k in ("known", "lb", "ls")])))
+    common = counts.where(JOINT).where("c > 0").orderBy(F.desc("c"), "word").limit(most_joints).select("word").toArrow().column(0).to_pylist()
+    joints = spark.sparkContext.broadcast(dict(zip(common, tree_here.joints_log10(common).tolist(), strict=True)))
+    release(spark)
     held = ["rid", "word", "k", "n_tokens", "n_known", "base_score", "score"]
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, price = heavy.value
+        often_joint = joints.value
         for b in batches:
-            texts_here = b.column(1).to_pylist()
+            texts_here = b.column(1)
             rids = b.column(0).to_numpy()
             for lo, hi in in_parts(texts_here):
                 t = Texts(texts_here[lo:hi])
@@ -318,7 +383,12 @@ def lm_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
                 often = rank >= 0
                 known, lb, ls = (np.bincount(t.text[often], row[rank[often]], m) for row in price)
                 pairs, inv = np.unique(t.pairs, return_inverse=True)
-                ls += np.bincount(t.pair_text, tree.value.joints_log10([t.joint(k) for k in pairs.tolist()])[inv], m) if len(pairs) else 0
+                if len(pairs):
+                    names = [t.joint(k) for k in pairs.tolist()]
+                    gain = np.array([often_joint.get(x, np.nan) for x in names])
+                    rare = np.flatnonzero(np.isnan(gain))
+                    gain[rare] = tree.value.joints_log10([names[i] for i in rare])
+                    ls += np.bincount(t.pair_text, gain[inv], m)
                 # The text's own row: its word has a space, so no word equals it, and it spreads over the join's tasks.
                 yield pa.RecordBatch.from_arrays([pa.array(rid), pa.array([b" %d" % r for r in rid], pa.binary()), pa.array(np.zeros(m, np.int32)), pa.array(t.sizes + 1), pa.array((known + (texts > 0)).astype(np.int64)), pa.array(lb + end_base), pa.array(ls + end)], held)
                 rare, n = np.unique(t.text[~often] << 32 | t.codes[~often], return_counts=True)
