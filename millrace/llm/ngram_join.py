@@ -17,12 +17,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from millrace.llm.common import components, maybe_broadcast, windows_hash, word_hashes, words_of, written
+from millrace.llm.common import components, discard, maybe_broadcast, release, windows_hash, word_hashes, words_of, written
 
-#: At most so many shingles can hold a share of 1 / MOST_HEAVY of all occurrences: a bound for what is broadcast.
+#: At most so many frequent shingles (8 bytes each) are sent to the workers.
 MOST_HEAVY = 1 << 20
+#: Buckets of at most so many sets may give a pair at each of its common tokens.
+FEW = 40
 #: Occurrences gathered in a Python worker before they are counted.
 BLOCK = 3_000_000
 
@@ -83,6 +86,8 @@ def _prefixes(docs: DataFrame, width: int, percent: int, heavy: np.ndarray) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
+        maybe = np.zeros(1 << 22, bool)
+        maybe[heavy >> np.uint64(42)] = True
         for b in batches:
             parts: list[tuple[np.ndarray, ...]] = []
             size = 0
@@ -93,7 +98,9 @@ def _prefixes(docs: DataFrame, width: int, percent: int, heavy: np.ndarray) -> D
                     continue
                 if len(seen) < 2_000_000:
                     seen.add(sig)
-                late = np.isin(found, heavy, assume_unique=True) if len(heavy) else np.zeros(n, bool)
+                late = maybe[found >> np.uint64(42)]
+                if late.any():
+                    late[late] = heavy[np.minimum(np.searchsorted(heavy, found[late]), len(heavy) - 1)] == found[late]
                 prefix = np.concatenate([found[~late], found[late]])[: n - needed(n, percent) + 1]
                 k = len(prefix)
                 parts.append((np.full(k, sig, np.uint64), np.full(k, n, np.int32), np.arange(k, dtype=np.int32), prefix))
@@ -111,35 +118,60 @@ def _prefixes(docs: DataFrame, width: int, percent: int, heavy: np.ndarray) -> D
     return docs.select("text").mapInArrow(run, "sig long, n int, pos int, token long")
 
 
-def _fragments(docs: DataFrame, width: int, fragments: int) -> DataFrame:
-    """Rows (sig, frag, part) of whole sets: equal ranges of the hash space are the fragments of the global order."""
+def _fragments(docs: DataFrame, width: int, fragments: int, per_row: int, short: bool) -> DataFrame:
+    """Rows (sig, grp, parts) of whole sets: equal ranges of the hash space are the fragments, per_row of them in a row.
+    short: of each hash the low half alone, which takes half the room and may merge two shingles now and then."""
+    kind = "int" if short else "long"
     cuts = np.array([i * 2**64 // fragments for i in range(1, fragments)], np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sigs, frags, parts = [], [], []
+            sigs, groups, parts, width_of = [], [], [], []
             for text in b.column(0):
                 found = shingle_set(text.as_py(), width)
                 if len(found):
-                    for k, part in enumerate(np.split(found, np.searchsorted(found, cuts))):
-                        if len(part):
-                            sigs.append(signature(found))
-                            frags.append(k)
-                            parts.append(signed(part))
+                    own = np.split(found, np.searchsorted(found, cuts))
+                    for g in range(0, fragments, per_row):
+                        sigs.append(signature(found))
+                        groups.append(g)
+                        parts += own[g : g + per_row]
+                        width_of.append(len(own[g : g + per_row]))
             if sigs:
-                offsets = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(np.array(sigs, np.uint64).view(np.int64)), pa.array(frags, pa.int32()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts)))], ["sig", "frag", "part"])
-
-    return docs.select("text").mapInArrow(run, "sig long, frag int, part array<long>")
-
-
-def _verified(pairs: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, na, b, nb) whose overlaps, counted fragment by fragment and summed, reach the threshold."""
-    left = parts.select(F.col("sig").alias("a"), "frag", F.col("part").alias("pa"))
-    right = parts.select(F.col("sig").alias("b"), "frag", F.col("part").alias("pb"))
-    counted = pairs.join(left, "a").join(right, ["b", "frag"]).select("a", "b", "na", "nb", F.size(F.array_intersect("pa", "pb")).cast("long").alias("o"))
-    summed = counted.groupBy("a", "b", "na", "nb").agg(F.sum("o").alias("overlap"))
-    return summed.where(F.col("overlap") * 100 >= (F.col("na") + F.col("nb") - F.col("overlap")) * percent)
+                inner = pa.array(np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32))
+                outer = pa.array(np.concatenate([[0], np.cumsum(width_of)]).astype(np.int32))
+                nested = pa.ListArray.from_arrays(outer, pa.ListArray.from_arrays(inner, pa.array(np.concatenate(parts).astype(np.uint32).view(np.int32) if short else signed(np.concatenate(parts)))))
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(sigs, np.uint64).view(np.int64)), pa.array(groups, pa.int32()), nested], ["sig", "grp", "parts"])
+
+    return docs.select("text").mapInArrow(run, f"sig long, grp int, parts array<array<{kind}>>")
+
+
+def _overlaps(pairs: DataFrame, parts: DataFrame) -> DataFrame:
+    """The pairs (a, na, b, nb) with their overlaps, counted fragment by fragment and summed."""
+    left = parts.select(F.col("sig").alias("a"), "grp", F.col("parts").alias("pa"))
+    right = parts.select(F.col("sig").alias("b"), "grp", F.col("parts").alias("pb"))
+    overlaps = F.zip_with("pa", "pb", lambda x, y: F.size(F.array_intersect(x, y)).cast("long"))
+    counted = pairs.join(left, "a").join(right, ["b", "grp"]).select("a", "b", "na", "nb", "grp", F.aggregate(overlaps, F.lit(0).cast("long"), lambda s, o: s + o).alias("o"))
+    counted = counted.groupBy("a", "b", "na", "nb", "grp").agg(F.max("o").alias("o"))  # rows that repeat give a fragment twice
+    return counted.groupBy("a", "b", "na", "nb").agg(F.sum("o").alias("overlap"))
+
+
+def _verified(pairs: DataFrame, parts_of, percent: int) -> DataFrame:
+    """The pairs whose overlap reaches the threshold. Half hashes decide all pairs but those near the threshold, which
+    whole hashes decide."""
+    parts = parts_of(pairs, True)
+    seen = written(_overlaps(pairs, parts), "overlaps")
+    discard(parts)
+    release(pairs.sparkSession)
+    room = (3 + F.floor(F.greatest("na", "nb") / 2_000)) * (100 + percent)
+    over = F.col("overlap") * (100 + percent) - (F.col("na") + F.col("nb")) * percent
+    sure = seen.where(over >= room).select("a", "b")
+    near = written(seen.where((over < room) & (over >= -room)).select("a", "na", "b", "nb"), "near")
+    if near.isEmpty():
+        return sure
+    parts = parts_of(near, False)
+    out = written(sure.union(_overlaps(near, parts).where(over >= 0).select("a", "b")), "links")
+    discard(parts)
+    return out
 
 
 def _may_link(percent: int):
@@ -149,11 +181,11 @@ def _may_link(percent: int):
     return (F.least("xn", "yn") * 100 >= F.greatest("xn", "yn") * percent) & (rest >= least)
 
 
-def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, fragments: int = 8, pair_budget: float = 8.0, rounds: int = 4) -> DataFrame:
+def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, fragments: int = 8, per_row: int = 8, rounds: int = 1) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id (least id reachable by links with Jaccard >= percent / 100).
 
-    pair_budget: rounds of pivots go on while more pairs than this many a bucket row remain and they get fewer; the rest
-    is always compared in full. Texts without words (null, empty, blank) have n_shingles 0 and are their own component.
+    rounds: at most so many rounds compare sets with pivots (1, then 4, 16 ... a token); the rest is always compared in
+    full. per_row: fragments of a set in one row of the count (fewer for very long texts). Texts without words (null, empty, blank) have n_shingles 0 and are their own component.
     Rows with a null id take part; a component with null ids only has a null id. Repeated rows are equal sets, so one
     component. An empty table gives no rows. Other columns of docs are not looked at.
     """
@@ -161,20 +193,30 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("tkey", F.xxhash64("text"))
     both = written(_sets(docs, width, 4), "sets")
     texts = both.where("kind = 0").select("doc_id", "n", "sig", "tkey")
-    total = texts.agg(F.sum("n")).first()[0] or 0
-    floor = max(32, total // MOST_HEAVY)
-    rows = both.where("kind = 1").groupBy("sig").agg(F.sum("n").alias("n")).where(F.col("n") >= floor).select("sig").toArrow()
+    often = both.where("kind = 1").groupBy("sig").agg(F.sum("n").alias("n"))
+    least, seen = 1 << 62, 0
+    for r in often.groupBy("n").count().orderBy(F.desc("n")).limit(1 << 16).collect():
+        seen += r["count"]
+        if seen > MOST_HEAVY:
+            break
+        least = r["n"]
+    rows = often.where(F.col("n") >= least).select("sig").toArrow()
     heavy = np.sort(rows.column(0).to_numpy().view(np.uint64)) if rows.num_rows else np.zeros(0, np.uint64)
 
+    same = W.partitionBy("token")
     prefix = _prefixes(docs, width, percent, heavy).repartition("token")
-    shared = prefix.groupBy("token").agg(F.min("sig").alias("lo"), F.max("sig").alias("hi")).where("lo <> hi").select("token")
-    bucket = written(prefix.join(shared.hint("shuffle_hash"), "token").select("token", "sig", "n", "pos").distinct(), "buckets")
-    sigs = bucket.select("sig").distinct()
-    keys = written(texts.where("n > 0").groupBy("sig").agg(F.min("tkey").alias("tkey")).join(sigs, "sig").select("tkey"), "keys")
-    part = _fragments(docs.join(maybe_broadcast(keys, keys.count()), "tkey", "left_semi"), width, fragments)
-    parts = written(part.groupBy("sig", "frag").agg(F.first("part").alias("part")), "fragments")
+    bucket = written(prefix.withColumn("lo", F.min("sig").over(same)).withColumn("hi", F.max("sig").over(same)).where("lo <> hi").select("token", "sig", "n", "pos").distinct(), "buckets")
+    one = texts.where("n > 0").groupBy("sig").agg(F.min(F.struct("doc_id", "tkey")).alias("x")).select("sig", "x.*")
+
+    def parts_of(pairs: DataFrame, short: bool) -> DataFrame:
+        """Fragments of the sets in the pairs, from one text of each."""
+        keys = written(pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).distinct().join(one, "sig").select("doc_id", "tkey"), "keys").alias("k")
+        chosen = docs.join(maybe_broadcast(keys, keys.count()), (docs.tkey == F.col("k.tkey")) & docs.doc_id.eqNullSafe(F.col("k.doc_id")), "left_semi")
+        return written(_fragments(chosen, width, fragments, per_row, short), "fragments")
 
+    release(spark)
     size = bucket.count()
+    may = lambda t: t.where("xl <> yl").where(_may_link(percent)).select("a", F.col("xn").alias("na"), "b", F.col("yn").alias("nb"))
     label = None
     links = None
     last = None
@@ -185,19 +227,37 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
         left = (per.agg(F.sum((F.col("all") * F.col("all") - F.col("same")) / 2)).first()[0] or 0) if size else 0
         if not left:
             break
-        whole = left <= max(50_000, pair_budget * size) or turn == rounds or (last is not None and left > 0.8 * last)
+        whole = turn == rounds or (last is not None and left > 0.95 * last)
         last = left
-        x = now.select("token", F.col("sig").alias("a"), F.col("n").alias("xn"), F.col("pos").alias("xp"), F.col("label").alias("xl"))
-        y = now.select("token", F.col("sig").alias("b"), F.col("n").alias("yn"), F.col("pos").alias("yp"), F.col("label").alias("yl"))
+        xs = lambda t, *more: t.select("token", F.col("sig").alias("a"), F.col("n").alias("xn"), F.col("pos").alias("xp"), F.col("label").alias("xl"), *more)
+        ys = lambda t, *more: t.select("token", F.col("sig").alias("b"), F.col("n").alias("yn"), F.col("pos").alias("yp"), F.col("label").alias("yl"), *more)
         if whole:
-            pairs = x.join(y, "token").where("a < b")
+            live = written(now.join(per.select("token", F.col("all").alias("c")), "token"), "live")
+            few = live.where(F.col("c") <= FEW)
+            pairs = xs(few).join(ys(few), "token").where("a < b").transform(may)
+            # In large buckets a pair comes out at its first common token alone: what lies before on either side doesn't overlap.
+            lists = live.where(F.col("c") > FEW).groupBy("sig").agg(F.sort_array(F.collect_list(F.struct("pos", "token"))).alias("all"), F.first("n").alias("n"), F.first("label").alias("label"))
+            rows = lists.select("sig", "n", "label", F.col("all.token").alias("tokens"), F.posexplode("all").alias("i", "t"))
+            large = rows.select(F.col("t.token").alias("token"), "sig", "n", "label", F.col("t.pos").alias("pos"), F.slice("tokens", 1, F.col("i")).alias("before"))
+            met = xs(large, F.col("before").alias("xb")).join(ys(large, F.col("before").alias("yb")), "token").where("a < b and not arrays_overlap(xb, yb)")
+            pairs = pairs.union(met.transform(may)).distinct()
         else:
-            by = F.xxhash64(F.col("a"), F.lit(turn))
-            pivot = x.groupBy("token").agg(F.min(F.struct(by.alias("h"), "a", "xn", "xp", "xl")).alias("p")).select("token", "p.*")
-            pairs = y.join(pivot, "token").where("a <> b")
-        pairs = pairs.where("xl <> yl").where(_may_link(percent)).select("a", F.col("xn").alias("na"), "b", F.col("yn").alias("nb")).distinct()
-        more = written(_verified(pairs, parts, percent).select("a", "b"), "links")
+            # Pivots are the sets whose tokens most others share: an original before its copies.
+            popular = now.join(per.select("token", "all"), "token").groupBy("sig").agg(F.sum("all").alias("pop"))
+            x, y = xs(now.join(popular, "sig"), "pop"), ys(now)
+            many = 4**turn
+            pivot = x.join(per.select("token"), "token", "left_semi")
+            if turn:  # the most popular of each label; then the first of those, so that no long list is made
+                pivot = pivot.groupBy("token", "xl").agg(F.max(F.struct("pop", "a", "xn", "xp")).alias("p")).select("token", "xl", "p.*")
+                pivot = pivot.withColumn("at", F.row_number().over(W.partitionBy("token").orderBy(F.desc("pop"), "a"))).where(F.col("at") <= many).drop("at")
+            else:
+                pivot = pivot.groupBy("token").agg(F.max(F.struct("pop", "a", "xn", "xp", "xl")).alias("p")).select("token", "p.*")
+            pairs = y.join(pivot.drop("pop"), "token").where("a <> b").transform(may).distinct()
+        pairs = written(pairs, "pairs")
+        release(spark)
+        more = _verified(pairs, parts_of, percent)
         links = more if links is None else links.union(more)
+        release(spark)
         label = components(links)
         if whole:
             break
