@@ -3,7 +3,9 @@
 1. Each text gives its set of 64-bit shingle hashes; texts with equal sets are one class, named by a 64-bit signature.
 2. The global order puts ordinary shingles first, by hash, and the most frequent ones last. Two sets with Jaccard >= t share
    a shingle within their prefixes of n - ceil(t n) + 1, so prefixes alone are shuffled and give the candidates.
-3. The order is cut into fragments. Each candidate pair's overlap is counted in every fragment apart and summed.
+3. Of each set a parity sketch of one to two bits a shingle is kept. Two sketches differ in no more bits than the sets do in
+   shingles, which bounds the overlap from above; a pair whose bound is below the threshold cannot link and goes no further.
+   The order is cut into fragments. The overlap of each pair left is counted in every fragment apart and summed.
 4. Links make components. In a large bucket each member is first compared with one pivot; members that are then known to
    be connected need no comparison, and all pairs that remain across components are compared, so no link is lost.
 
@@ -41,6 +43,13 @@ def signature(found: np.ndarray) -> int:
         return int((found * np.uint64(0xD6E8FEB86659FD93) ^ (found >> np.uint64(29))).sum(dtype=np.uint64) ^ np.uint64(len(found) * 0x9E3779B97F4A7C15 % 2**64))
 
 
+def sketch(found: np.ndarray) -> np.ndarray:
+    """Of a set: for each of 2^k > n residues (64 at least) the parity of the hashes that have it, as 64-bit words."""
+    bits = max(64, 1 << len(found).bit_length())
+    odd = (np.bincount((found & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little").view(np.int64)
+
+
 def signed(a: np.ndarray) -> np.ndarray:
     return a.view(np.int64)
 
@@ -50,7 +59,9 @@ def needed(n: int, percent: int) -> int:
 
 
 def _sets(docs: DataFrame, width: int, at_least: int) -> DataFrame:
-    """Rows of two kinds: kind 0, a text (doc_id, n, sig, tkey); kind 1, a shingle (sig) and how often (n) a block of texts has it."""
+    """Rows of two kinds: kind 0, a text (doc_id, n, sig, tkey, sketch); kind 1, a shingle (sig) and how often (n) a block of texts has it."""
+
+    names = ["kind", "doc_id", "n", "sig", "tkey", "sketch"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -61,24 +72,28 @@ def _sets(docs: DataFrame, width: int, at_least: int) -> DataFrame:
             keep = n >= at_least
             tokens, n = signed(tokens[keep]), n[keep]
             none = pa.nulls(len(n), pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(np.ones(len(n), np.int32)), none, pa.array(n), pa.array(tokens), none], ["kind", "doc_id", "n", "sig", "tkey"])
+            return pa.RecordBatch.from_arrays([pa.array(np.ones(len(n), np.int32)), none, pa.array(n), pa.array(tokens), none, pa.nulls(len(n), pa.list_(pa.int64()))], names)
 
         for b in batches:
-            sizes, sigs = [], []
+            sizes, sigs, sketches = [], [], []
             for text in b.column(1):
                 found = shingle_set(text.as_py(), width)
                 sizes.append(len(found))
                 sigs.append(signature(found) if len(found) else 0)
+                sketches.append(sketch(found))
                 held.append(found)
                 size += len(found)
                 if size >= BLOCK:
                     yield counted()
                     held, size = [], 0
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(sizes), np.int32)), b.column(0), pa.array(sizes, pa.int64()), pa.array(np.array(sigs, np.uint64).view(np.int64)), b.column(2)], ["kind", "doc_id", "n", "sig", "tkey"])
+            if sketches:
+                ends = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in sketches])]).astype(np.int32))
+                kept = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(sketches)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(sizes), np.int32)), b.column(0), pa.array(sizes, pa.int64()), pa.array(np.array(sigs, np.uint64).view(np.int64)), b.column(2), kept], names)
         if size:
             yield counted()
 
-    return docs.mapInArrow(run, "kind int, doc_id long, n long, sig long, tkey long")
+    return docs.mapInArrow(run, "kind int, doc_id long, n long, sig long, tkey long, sketch array<long>")
 
 
 def _prefixes(docs: DataFrame, width: int, percent: int, heavy: np.ndarray) -> DataFrame:
@@ -155,9 +170,27 @@ def _overlaps(pairs: DataFrame, parts: DataFrame) -> DataFrame:
     return counted.groupBy("a", "b", "na", "nb").agg(F.sum("o").alias("overlap"))
 
 
-def _verified(pairs: DataFrame, parts_of, percent: int) -> DataFrame:
-    """The pairs whose overlap reaches the threshold. Half hashes decide all pairs but those near the threshold, which
-    whole hashes decide."""
+def _close(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, na, b, nb) that can reach the threshold by their sketches: overlap <= (na + nb - differing bits) / 2."""
+    left = sketches.select(F.col("sig").alias("a"), F.col("sketch").alias("sa"))
+    right = sketches.select(F.col("sig").alias("b"), F.col("sketch").alias("sb"))
+    words = F.least(F.size("sa"), F.size("sb"))
+
+    def folded(s):
+        """A longer sketch as one of `words` words: the parities of residues of a smaller power of two."""
+        zero = F.array_repeat(F.lit(0).cast("long"), words)
+        folds = F.sequence(F.lit(0), (F.size(s) / words).cast("int") - 1)
+        return F.when(F.size(s) == words, F.col(s)).otherwise(F.aggregate(folds, zero, lambda x, k: F.zip_with(x, F.slice(s, k * words + 1, words), lambda p, q: p.bitwiseXOR(q))))
+
+    differ = F.aggregate(F.zip_with(folded("sa"), folded("sb"), lambda p, q: F.bit_count(p.bitwiseXOR(q)).cast("long")), F.lit(0).cast("long"), lambda x, k: x + k)
+    both = (F.col("na") + F.col("nb")).cast("long")
+    return pairs.join(left, "a").join(right, "b").where((both - differ) * (100 + percent) >= both * 2 * percent).select("a", "na", "b", "nb")
+
+
+def _verified(pairs: DataFrame, sketches: DataFrame, parts_of, percent: int) -> DataFrame:
+    """The pairs whose overlap reaches the threshold. Sketches rule out most that don't. Half hashes decide all other pairs
+    but those near the threshold, which whole hashes decide."""
+    pairs = written(_close(pairs, sketches, percent), "close")
     parts = parts_of(pairs, True)
     seen = written(_overlaps(pairs, parts), "overlaps")
     discard(parts)
@@ -192,7 +225,7 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("tkey", F.xxhash64("text"))
     both = written(_sets(docs, width, 4), "sets")
-    texts = both.where("kind = 0").select("doc_id", "n", "sig", "tkey")
+    texts = both.where("kind = 0").select("doc_id", "n", "sig", "tkey", "sketch")
     often = both.where("kind = 1").groupBy("sig").agg(F.sum("n").alias("n"))
     least, seen = 1 << 62, 0
     for r in often.groupBy("n").count().orderBy(F.desc("n")).limit(1 << 16).collect():
@@ -206,11 +239,11 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     same = W.partitionBy("token")
     prefix = _prefixes(docs, width, percent, heavy).repartition("token")
     bucket = written(prefix.withColumn("lo", F.min("sig").over(same)).withColumn("hi", F.max("sig").over(same)).where("lo <> hi").select("token", "sig", "n", "pos").distinct(), "buckets")
-    one = texts.where("n > 0").groupBy("sig").agg(F.min(F.struct("doc_id", "tkey")).alias("x")).select("sig", "x.*")
+    one = written(texts.where("n > 0").groupBy("sig").agg(F.min(F.struct("doc_id", "tkey")).alias("x"), F.first("sketch").alias("sketch")).select("sig", "x.*", "sketch"), "one")
 
     def parts_of(pairs: DataFrame, short: bool) -> DataFrame:
         """Fragments of the sets in the pairs, from one text of each."""
-        keys = written(pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).distinct().join(one, "sig").select("doc_id", "tkey"), "keys").alias("k")
+        keys = written(pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).distinct().join(one.drop("sketch"), "sig").select("doc_id", "tkey"), "keys").alias("k")
         chosen = docs.join(maybe_broadcast(keys, keys.count()), (docs.tkey == F.col("k.tkey")) & docs.doc_id.eqNullSafe(F.col("k.doc_id")), "left_semi")
         return written(_fragments(chosen, width, fragments, per_row, short), "fragments")
 
@@ -255,7 +288,7 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
             pairs = y.join(pivot.drop("pop"), "token").where("a <> b").transform(may).distinct()
         pairs = written(pairs, "pairs")
         release(spark)
-        more = _verified(pairs, parts_of, percent)
+        more = _verified(pairs, one.select("sig", "sketch"), parts_of, percent)
         links = more if links is None else links.union(more)
         release(spark)
         label = components(links)

@@ -61,7 +61,7 @@ def test_warc_round_trip(spark):
     assert warc.read_archives(spark, path).collect() == []
 
 
-def brute_components(rows):
+def brute_components(rows, percent=80):
     sets, up = {}, {i: i for i, _ in rows}
     for i, t in rows:
         w = (t or "").encode().lower().split()
@@ -75,7 +75,7 @@ def brute_components(rows):
     ids = sorted(sets)
     for x in ids:
         for y in ids:
-            if x < y and sets[x] and 100 * len(sets[x] & sets[y]) >= 80 * len(sets[x] | sets[y]):
+            if x < y and sets[x] and 100 * len(sets[x] & sets[y]) >= percent * len(sets[x] | sets[y]):
                 a, b = sorted((root(x), root(y)))
                 up[b] = a
     return {(i, len(sets[i]), root(i)) for i in ids}
@@ -96,6 +96,30 @@ def test_ngram_join_brute_force(spark):
     assert {tuple(r) for r in got.collect()} == brute_components(rows)
 
 
+def test_sketches_rule_out_no_link(spark):
+    import random
+
+    random.seed(5)
+    base = [f"t{i}" for i in range(1_500)]
+    rows = []
+    for k in range(40):  # stretches of very unlike lengths, so that sketches of unlike sizes meet
+        a, n = random.randrange(700), random.choice([3, 40, 70, 150, 300, 800])
+        w = base[a : a + n]
+        for _ in range(k % 4):
+            w[random.randrange(len(w))] = f"n{k}"
+        rows.append((k, " ".join(w)))
+    rows.append((99, " ".join(base)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for percent in (25, 50, 80):
+        assert {tuple(r) for r in ngram_join.jaccard_components(df, percent=percent).collect()} == brute_components(rows, percent)
+    sets = {i: ngram_join.shingle_set(t, 5) for i, t in rows}
+    pairs = [(a, len(sets[a]), b, len(sets[b])) for a in sets for b in sets if a < b]
+    kept = ngram_join._close(spark.createDataFrame(pairs, "a long, na long, b long, nb long"), spark.createDataFrame([(i, ngram_join.sketch(x).tolist()) for i, x in sets.items()], "sig long, sketch array<long>"), 80)
+    kept = {(r.a, r.b) for r in kept.collect()}
+    linked = {(a, b) for a, _, b, _ in pairs if 100 * len(set(sets[a]) & set(sets[b])) >= 80 * len(set(sets[a]) | set(sets[b]))}
+    assert linked <= kept and len(kept) < len(pairs) / 4
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(60)] + [(100, 101), (5, 5)]
     got = {(r.node, r.label) for r in components(spark.createDataFrame(links, "a long, b long")).distinct().collect()}
