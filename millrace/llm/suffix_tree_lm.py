@@ -336,7 +336,7 @@ def build_tree(counts: DataFrame, depth: int, share: int, gain: float) -> Tree:
     return Tree({"level": col("level")[keep], "ctx": ctx[keep], "parent": col("parent").view(np.uint64)[keep], "sym": col("sym").astype(np.int64)[keep], "n": n[keep]}, depth, gain)
 
 
-def lm_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", held_out: int = 10, depth: int = 5, share: int = 100_000, gain: float = 0.7, most_words: int = 400_000, most_joints: int = 300_000) -> DataFrame:
+def lm_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", held_out: int = 10, depth: int = 8, share: int = 100_000, gain: float = 0.7, most_words: int = 400_000, most_joints: int = 300_000) -> DataFrame:
     """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))

@@ -141,6 +141,12 @@ def test_lm_base_and_model(spark):
     assert sum(10 ** suffix_tree_lm.Tree({k: suffix_tree_lm.np.zeros(0, t) for k, t in (("level", "i1"), ("ctx", "u8"), ("parent", "u8"), ("sym", "i8"), ("n", "i8"))}, 2, 1.0).words_log10([b"a"])) == pytest.approx(suffix_tree_lm.CODE_POINTS**-2)
 
 
+def test_lm_contexts_of_eight_symbols(spark):
+    df = spark.createDataFrame([(i, "abcdefgx zbcdefgy") for i in range(60)] + [(100, "abcdefgx"), (101, "abcdefgy")], "doc_id long, text string")
+    score = {r.doc_id: r.score for r in suffix_tree_lm.lm_scores(df).where("doc_id >= 100").collect()}
+    assert score[100] > score[101] + 1
+
+
 def test_secrets_brute_force(spark, docs):
     kinds = [("assign", re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), 1, 12), ("access", re.compile("AKIA[A-Z0-9]+"), 0, 18), ("hex", re.compile("[0-9a-f]+"), 0, 16)]
     for r in secrets.scan_secrets(docs.where("doc_id is not null")).collect():
