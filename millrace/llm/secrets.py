@@ -1,9 +1,10 @@
 """Secret scan with SQL functions only: three fixed patterns, and sliding-window entropy over candidate strings.
 
-A candidate is a run of at least `window` characters of [A-Za-z0-9+/_=-] that has a letter and a digit. Its class (hex or
+A candidate is a run of at least `window` characters of [A-Za-z0-9+/_=-] that has a letter and a digit, or letters of both
+cases. Placeholder words cut it into pieces, and each piece that is still a candidate is scored. Its class (hex or
 base64) gives the alphabet and the threshold. A window moves over it one character at a time; the counts of the character
-that leaves and of the one that enters change, and the entropy's sum changes by those two terms. The span that reaches
-the threshold is kept unless an allow-list pattern matches it or a fixed pattern's span covers it.
+that leaves and of the one that enters change, and the entropy's sum changes by those two terms. The run with a piece that
+reaches the threshold is kept unless an allow-list pattern matches the run or the piece, or a fixed pattern's span covers it.
 
 Defined cases: a null text is an empty one and has no spans. Repeated rows give repeated rows. Ties in the order of spans
 go by start, then kind as listed. Other columns are ignored. Whole texts are scanned.
@@ -20,9 +21,12 @@ from pyspark.sql import functions as F
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 FIXED = [("assign", ASSIGN, 1, 12), ("access", r"AKIA[A-Z0-9]+", 0, 18), ("hex", r"[0-9a-f]{16,}", 0, 16)]
 KINDS = ["assign", "access", "hex", "entropy"]
-CANDIDATE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])(?=[0-9+/_=-]*+[A-Za-z])[A-Za-z0-9+/_=-]{%d,}"
-#: Not secrets: UUIDs, dotted or dashed dates and versions, paths of plain words, placeholders.
-ALLOWED = [r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$", r"^v?\d+([-_/]\d+)*[-_/]?$", r"^/?([a-z]+[0-9]{0,4}[/_-])+[a-z0-9]*$", r"(?i)example|changeme|placeholder|x{6,}|0123456789"]
+MIXED = r"(?:(?=[A-Za-z+/_=-]*+[0-9])(?=[0-9+/_=-]*+[A-Za-z])|(?=[a-z0-9+/_=-]*+[A-Z])(?=[A-Z0-9+/_=-]*+[a-z]))[A-Za-z0-9+/_=-]{%d,}"
+CANDIDATE = r"(?<![A-Za-z0-9+/_=-])" + MIXED
+#: Not secrets: UUIDs, dotted or dashed dates and versions, paths of plain words, capitalised words without digits.
+ALLOWED = [r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$", r"^v?\d+([-_/]\d+)*[-_/]?$", r"^/?([a-z]+[0-9]{0,4}[/_-])+([a-z]+[0-9]{0,4})?$", r"^[+/_=-]*+(?:[A-Z]?+[a-z]{2,}+[+/_=-]*+|[A-Za-z][a-z]?+[+/_=-]++)*+(?:[A-Za-z][a-z]?+)?$"]
+#: Windows over these words do not count; the rest of the run does.
+PLACEHOLDER = r"(?i)example|changeme|placeholder|x{6,}|0123456789|abcdefghijklmnopqrstuvwxyz"
 
 
 def _spans(text: Column, kind: str, pattern: str, group: int, least: int) -> Column:
@@ -80,10 +84,15 @@ def scan_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
     def secret(span: Column) -> Column:
         s = F.substring(F.col("text"), span["start"] + 1, span["end"] - span["start"])
-        bits = F.when(s.rlike("^[0-9a-fA-F]+$"), hex_bits).otherwise(base64_bits)
         covered = F.exists("base", lambda b: (b["start"] <= span["start"]) & (b["end"] >= span["end"]))
-        allowed = s.rlike("|".join(f"(?:{p})" for p in ALLOWED))
-        return F.when(covered | allowed, F.lit(False)).otherwise(window_entropy(s, window) >= bits)
+        allowed = lambda x: x.rlike("|".join(f"(?:{p})" for p in ALLOWED))
+
+        def dense(piece: Column) -> Column:
+            bits = F.when(piece.rlike("^[0-9a-fA-F]+$"), hex_bits).otherwise(base64_bits)
+            plain = allowed(F.btrim(piece, F.lit("+/_=-")))
+            return F.when(~piece.rlike(f"^{MIXED % window}$") | plain, F.lit(False)).otherwise(window_entropy(piece, window) >= bits)
+
+        return F.when(covered | allowed(s), F.lit(False)).otherwise(F.exists(F.split(s, PLACEHOLDER, -1), dense))
 
     docs = docs.withColumn("found", F.when(F.size("runs") > 0, F.filter("runs", secret)).otherwise(F.col("runs")))
     return docs.select("doc_id", "base", "found")
