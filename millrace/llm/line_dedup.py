@@ -39,9 +39,11 @@ def keep_bitmaps(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     keyed = lines.select("doc_id", "tkey", "pos", line_key(F.col("line")).alias("key")).where(F.length("key") >= min_chars)
     hashed = keyed.select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"), "doc_id", "tkey", "pos")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = written(hashed.repartitionByRange(n, "h1", "h2", "doc_id", "tkey").sortWithinPartitions("h1", "h2", "doc_id", "tkey", "pos"), "lines")
-    first = dealt.groupBy("h1", "h2", "doc_id", "tkey").agg(F.min("pos").alias("pos"))
-    often = written(first.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs).select("h1", "h2"), "often")
+    # The window needs just this dealing and order, so it runs in the sorted stage, without a shuffle or sort of its own.
+    ordered = hashed.repartitionByRange(n, "h1", "h2", "doc_id", "tkey").sortWithinPartitions("h1", "h2", "doc_id", "tkey", "pos")
+    before = F.lag(F.lit(True)).over(W.partitionBy("h1", "h2", "doc_id", "tkey").orderBy("pos"))
+    dealt = written(ordered.withColumn("first", before.isNull()), "lines")
+    often = written(dealt.where("first").groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs).select("h1", "h2"), "often")
     lost = dealt.join(maybe_broadcast(often, often.count()), ["h1", "h2"], "left_semi").select("doc_id", "tkey", "pos")
     by = W.partitionBy("doc_id", "tkey").orderBy("pos")
     runs = lost.withColumn("run", F.col("pos") - F.dense_rank().over(by)).groupBy("doc_id", "tkey", "run").agg(F.min("pos").alias("start"), F.max("pos").alias("last"))

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.llm import decontaminate, language_id, line_dedup, ngram_join, packing, quality_classifier, quality_rules, secrets, suffix_tree_lm, warc
-from millrace.llm.common import components, new_path
+from millrace.llm.common import components, new_path, written
 
 SF = "/root/testdata/sf0.001"
 LONG = " ".join(f"w{i % 977}" for i in range(20_000))
@@ -171,6 +171,22 @@ def test_line_dedup_brute_force(spark):
     assert all(out[i].text == f"own {i}\n\nlast{i % 3}" and (out[i].n_lines, out[i].n_dropped) == (5, 2) for i in range(12))
 
 
+def test_line_dedup_marks_first_occurrences_in_the_sorted_stage(spark, monkeypatch):
+    made = {}
+
+    def keep(df, tag):
+        made[tag] = df
+        return written(df, tag)
+
+    monkeypatch.setattr(line_dedup, "written", keep)
+    line_dedup.keep_bitmaps(spark.createDataFrame([(i, "twice\nonce\ntwice\ntwice") for i in [*range(12), 3, None]], "doc_id long, text string"))
+    rows = made["lines"].collect()
+    assert Counter((r.doc_id, r.pos) for r in rows if r.first) == Counter((i, p) for i in [*range(12), None] for p in (0, 1)) and len(rows) == 56
+    plan = made["lines"]._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" in plan and "hashpartitioning" not in plan
+    assert "doc_id" not in made["often"]._jdf.queryExecution().executedPlan().toString().split("Scan parquet")[0]
+
+
 def test_packing_is_optimal_and_whole(spark):
     import itertools
 
