@@ -10,7 +10,8 @@ word of every text:
    positions from each of `walks` embeddings are looked up among the items' own. Enough repetitions reach the target recall.
 3. Each (text, item) that meets in a table is verified by its exact edit distance (bit-parallel, semi-global).
 
-Items so short that the bound says nothing are looked for as they are. Items go in blocks, each with its own tables, so any
+Items so short that the bound says nothing are verified wherever one of edits + 1 pieces of them occurs, which loses nothing,
+and need no spaces around them. Items go in blocks, each with its own tables, so any
 number of items works.
 
 Defined cases: null and empty texts have no passage; null and blank items are ignored. Repeated rows each get their rows;
@@ -152,6 +153,25 @@ class Index:
         return np.concatenate(found_at), np.concatenate(found)
 
 
+def short_match(item: bytes, text: bytes, most: int) -> tuple[int, int, int] | None:
+    """(edits, start, end) of the nearest stretch within `most` edits. Of most + 1 pieces of the item one is in it unchanged."""
+    m = len(item)
+    if (p := text.find(item)) >= 0:
+        return 0, p, p + m
+    best = None
+    cuts = [i * m // (most + 1) for i in range(most + 2)]
+    for a, z in zip(cuts[:-1], cuts[1:], strict=True) if most else ():
+        p = text.find(item[a:z])
+        while p >= 0:
+            lo = max(0, p - a - most)
+            edits, end = edit_match(item, text[lo : p - a + m + most])
+            if edits <= most and (best is None or edits < best[0]):
+                back = edit_match(item[::-1], text[lo : lo + end][::-1])[1]
+                best = edits, lo + end - back, lo + end
+            p = text.find(item[a:z], p + 1)
+    return best
+
+
 def scan_block(index: Index, texts: list[bytes]) -> list[tuple[int, int, int, int, int]]:
     """(text, item, edits, start, end) of all passages; start and end are byte offsets in the normal form."""
     begins = np.cumsum([0, *[len(t) + PAD for t in texts]])
@@ -185,8 +205,9 @@ def scan_block(index: Index, texts: list[bytes]) -> list[tuple[int, int, int, in
                 back = edit_match(pattern[::-1], part[:end][::-1])[1] if edits else len(pattern)
                 rows.append((int(text[a]), int(item[a]), edits, lo + end - back, lo + end))
     for k in index.short:
-        pattern = b" " + index.items[k][1] + b" "
-        rows += [(i, k, 0, p, p + len(pattern) - 2) for i, t in enumerate(texts) if (p := (b" " + t + b" ").find(pattern)) >= 0]
+        pattern = index.items[k][1]
+        most = index.edits(len(pattern))
+        rows += [(i, k, *hit) for i, t in enumerate(texts) if (hit := short_match(pattern, t, most))]
     return rows
 
 

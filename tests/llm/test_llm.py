@@ -245,6 +245,17 @@ def test_decontamination_recall():
     assert decontaminate.edit_match(b"kitten", b"a sitting cat") == (2, 8)
 
 
+def test_decontamination_of_short_items():
+    for n, texts in ((5, [b"(hills).", b"hills", b"hill"]), (14, [b"x (over the hills).", b"an over tha hills", b"ovr the hills y", b"ovr tha hills"]), (25, [b"so over the hills twice, now!", b"over tha hils twice, now", b"ovr tha hils twice, now"])):
+        item = {5: b"hills", 14: b"over the hills", 25: b"over the hills twice, now"}[n]
+        index = decontaminate.Index([(0, item)], 0.08, 6, 6, 5, 11)
+        k = index.edits(len(item))
+        want = {(i, decontaminate.edit_match(item, t)[0]) for i, t in enumerate(texts) if decontaminate.edit_match(item, t)[0] <= k}
+        got = decontaminate.scan_block(index, texts)
+        assert index.short == [0] and {(r[0], r[2]) for r in got} == want and len(want) == len(texts) - 1
+        assert all(decontaminate.edit_match(item, texts[i][a:z])[0] == e for i, _, e, a, z in got)
+
+
 def test_op7_digest(spark):
     r = line_dedup.op7_line_dedup(spark, SF).first()
     assert len(r.kept_sha256) == len(hashlib.sha256(b"").hexdigest())
