@@ -16,6 +16,7 @@ SPACES = " \t\n\x0b\x0c\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: A side with at most this many small rows may be broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 500_000
+BROADCAST_BYTES = 32 << 20
 
 
 def words_of(text: str | None, lower: bool = True) -> list[bytes]:
@@ -66,6 +67,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; a temporary one only where the session names none."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = f"file://{tempfile.mkdtemp(prefix='millrace-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -76,21 +79,27 @@ def new_path(spark: SparkSession, tag: str) -> str:
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:
-    """df as a table in the shared folder: cuts the lineage, survives lost executors."""
+    """df as a table in the shared folder: cuts the lineage, survives lost executors. It is deleted when the session's JVM ends."""
     spark = df.sparkSession
     path = new_path(spark, tag)
     schema = df.schema
     df.write.parquet(path)
     out = spark.read.schema(schema).parquet(path)
     out._scratch = path
+    fs, where = _file_system(spark, path)
+    fs.deleteOnExit(where)
     return out
 
 
+def _file_system(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), where
+
+
 def discard(df: DataFrame) -> None:
     """Deletes a table that written() made, once what is built on it has been written itself."""
-    jvm = df.sparkSession.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(df._scratch)
-    path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+    fs, where = _file_system(df.sparkSession, df._scratch)
+    fs.delete(where, True)
 
 
 def release(spark: SparkSession) -> None:
@@ -99,29 +108,60 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def stored_bytes(df: DataFrame) -> int:
+    """Bytes of a stored table, as Spark's statistics have them."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def maybe_broadcast(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast behind a check of the size; beyond it Spark shuffles both sides."""
-    return F.broadcast(df) if rows <= limit else df
+    """Broadcast behind a check of rows and stored bytes; beyond either Spark shuffles both sides."""
+    return F.broadcast(df) if rows <= limit and stored_bytes(df) <= BROADCAST_BYTES else df
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df hasn't: the given one, with underscores before it while it clashes (case ignored)."""
+    taken = {c.lower() for c in df.columns}
+    name = f"__{name}"
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def without(docs: DataFrame, gone: DataFrame, id_col: str, key: Column) -> DataFrame:
+    """docs without the rows whose (id, key) is in gone (doc_id, tkey), a stored table; null ids match null ids."""
+    i, t = fresh(docs, "i"), fresh(docs, "t")
+    gone = gone.select(F.col("doc_id").alias(i), F.col("tkey").alias(t))
+    same = F.col(id_col).cast("long").eqNullSafe(F.col(i)) & (key == F.col(t))
+    return docs.join(maybe_broadcast(gone, gone.count()), same, "left_anti")
+
+
+def text_key(text: Column) -> Column:
+    """A 64-bit hash that, beside the id, names a text; null and empty texts are one."""
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
 
 
-def components(links: DataFrame, tag: str = "cc") -> DataFrame:
+def components(links: DataFrame, tag: str = "cc", most_rounds: int = 60) -> DataFrame:
     """Connected components of links (a, b): rows (node, label), label the least node that can be reached.
 
     Large-star and small-star steps in turn, each a shuffle on nodes; rounds grow with the logarithm of a component's
-    width. Self links and repeated links change nothing; no links, no rows.
+    width, and components that do not settle in most_rounds raise. Self links and repeated links change nothing; no
+    links, no rows.
     """
     edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), tag)
     last = None
-    for _ in range(60):
+    for _ in range(most_rounds):
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         star = large.join(low, "u")
         small = star.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).distinct()
-        edges = written(small, tag)
+        before, edges = edges, written(small, tag)
         now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == last:
             break
         last = now
+        discard(before)
+    else:
+        raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
