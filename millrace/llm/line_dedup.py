@@ -2,13 +2,15 @@
 
 Every line becomes a 128-bit hash of its key; text is not shuffled to decide. Rows (hash, document, position) are dealt by
 range of (hash, document), so that a line in a third of all documents lies across many tasks, and sorted by position
-within. Streaming through that order marks each document's first occurrence of a line; first occurrences are summed per
-hash before the second shuffle. What comes back per document is its runs of dropped lines: a keep bitmap in run-length
-form.
+within. A window that streams over that order, without a shuffle or sort of its own, marks each document's first occurrence
+of a line; first occurrences are summed per hash before the second shuffle. What comes back per document is a keep bitmap
+compressed into run containers: a binary with eight bytes for each run of zeros (dropped lines), its start and its length as
+big-endian 32-bit numbers, in order.
 
 Defined cases: a null or empty text is one empty line. The empty key is never dropped while min_chars >= 1. Rows with equal
 id and text count as one document and get the same bitmap; equal ids with other texts are other documents; null ids are
-allowed. Other columns are ignored. An empty table gives no rows.
+allowed. Other columns are ignored, but columns of docs that have the names of the two counts give way to them. An empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -17,29 +19,33 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from millrace.llm.common import SPACES, ascii_lower, maybe_broadcast, written
-
-RUNS = "array<struct<start:int,len:int>>"
+from millrace.llm.common import SPACES, ascii_lower, fresh, maybe_broadcast, text_key, written
 
 
 def line_key(line: Column) -> Column:
     return F.btrim(line, F.lit(SPACES))
 
 
-def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.select(F.col(id_col).alias("doc_id"), text.alias("text")).withColumn("tkey", F.xxhash64("text"))
+def packed(runs: Column) -> Column:
+    """Runs (start, len) as a bitmap of run containers."""
+    word = lambda n: F.lpad(F.hex(n), 8, "0")
+    return F.unhex(F.array_join(F.transform(runs, lambda r: F.concat(word(r["start"]), word(r["len"]))), ""))
+
+
+def unpacked(bitmap: Column) -> Column:
+    """The runs (start, len) of a bitmap."""
+    word = lambda x, at: F.conv(F.substring(x, at, 8), 16, 10).cast("int")
+    return F.transform(F.regexp_extract_all(F.hex(bitmap), F.lit(".{16}"), F.lit(0)), lambda x: F.struct(word(x, 1).alias("start"), word(x, 9).alias("len")))
 
 
 def keep_bitmaps(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10, min_chars: int = 1) -> DataFrame:
-    """Rows (doc_id, tkey, dropped) for the documents that lose lines; tkey = xxhash64(text), dropped = runs (start, len)."""
+    """Rows (doc_id, tkey, bitmap) for the documents that lose lines; tkey = text_key(text)."""
     spark = docs.sparkSession
-    texts = _texts(docs, id_col, text_col)
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("tkey", text_key(F.col("text")))
     lines = texts.select("doc_id", "tkey", F.posexplode(F.split(ascii_lower(F.col("text")), "\n")).alias("pos", "line"))
     keyed = lines.select("doc_id", "tkey", "pos", line_key(F.col("line")).alias("key")).where(F.length("key") >= min_chars)
     hashed = keyed.select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"), "doc_id", "tkey", "pos")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # The window needs just this dealing and order, so it runs in the sorted stage, without a shuffle or sort of its own.
     ordered = hashed.repartitionByRange(n, "h1", "h2", "doc_id", "tkey").sortWithinPartitions("h1", "h2", "doc_id", "tkey", "pos")
     before = F.lag(F.lit(True)).over(W.partitionBy("h1", "h2", "doc_id", "tkey").orderBy("pos"))
     dealt = written(ordered.withColumn("first", before.isNull()), "lines")
@@ -47,26 +53,31 @@ def keep_bitmaps(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     lost = dealt.join(maybe_broadcast(often, often.count()), ["h1", "h2"], "left_semi").select("doc_id", "tkey", "pos")
     by = W.partitionBy("doc_id", "tkey").orderBy("pos")
     runs = lost.withColumn("run", F.col("pos") - F.dense_rank().over(by)).groupBy("doc_id", "tkey", "run").agg(F.min("pos").alias("start"), F.max("pos").alias("last"))
-    return runs.groupBy("doc_id", "tkey").agg(F.array_sort(F.collect_list(F.struct("start", (F.col("last") - F.col("start") + 1).alias("len")))).cast(RUNS).alias("dropped"))
+    found = runs.groupBy("doc_id", "tkey").agg(F.array_sort(F.collect_list(F.struct("start", (F.col("last") - F.col("start") + 1).alias("len")))).alias("runs"))
+    return found.select("doc_id", "tkey", packed(F.col("runs")).alias("bitmap"))
 
 
 def kept_lines(text: Column, dropped: Column) -> Column:
     """The text without its dropped runs, one stretch of kept lines after another."""
     lines = F.split(text, "\n")
-    ends = F.transform(dropped, lambda r: r["start"] + r["len"])
-    froms = F.concat(F.array(F.lit(0)), ends)
+    froms = F.concat(F.array(F.lit(0)), F.transform(dropped, lambda r: r["start"] + r["len"]))
     tos = F.concat(F.transform(dropped, lambda r: r["start"]), F.array(F.size(lines)))
-    return F.array_join(F.flatten(F.zip_with(froms, tos, lambda a, b: F.slice(lines, a + 1, b - a))), "\n")
+    bound = F.array(F.struct(lines.alias("lines"), F.arrays_zip(froms.alias("a"), tos.alias("b")).alias("kept")))
+    # Bound to a lambda variable, so that the lines are split once a text and not once a stretch.
+    return F.get(F.transform(bound, lambda x: F.array_join(F.flatten(F.transform(x["kept"], lambda k: F.slice(x["lines"], k["a"] + 1, k["b"] - k["a"]))), "\n")), 0)
 
 
-def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10, min_chars: int = 1) -> DataFrame:
-    """Every row of docs with all its columns, the text without its repeated lines, and n_lines, n_dropped."""
-    bitmaps = written(keep_bitmaps(docs, id_col=id_col, text_col=text_col, min_docs=min_docs, min_chars=min_chars), "bitmaps").select(F.col("doc_id").alias("_i"), F.col("tkey").alias("_t"), F.col("dropped").alias("_d"))
+def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10, min_chars: int = 1, lines_as: str = "n_lines", dropped_as: str = "n_dropped") -> DataFrame:
+    """Every row of docs with its columns, the text without its repeated lines, and two counts, lines_as and dropped_as."""
+    i, t, m = (fresh(docs, c) for c in "itm")
+    bitmaps = written(keep_bitmaps(docs, id_col=id_col, text_col=text_col, min_docs=min_docs, min_chars=min_chars), "bitmaps")
+    side = maybe_broadcast(bitmaps, bitmaps.count(), 200_000).select(F.col("doc_id").alias(i), F.col("tkey").alias(t), F.col("bitmap").alias(m))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    same = (F.xxhash64(text) == F.col("_t")) & F.col(id_col).eqNullSafe(F.col("_i"))
-    joined = docs.join(maybe_broadcast(bitmaps, bitmaps.count(), 200_000), same, "left")
-    none = F.coalesce(F.aggregate("_d", F.lit(0), lambda s, r: s + r["len"]), F.lit(0))
-    return joined.select(*[c for c in docs.columns if c not in (text_col, "n_lines", "n_dropped")], F.when(F.col("_d").isNull(), text).otherwise(kept_lines(text, F.col("_d"))).alias(text_col), F.size(F.split(text, "\n")).cast("long").alias("n_lines"), none.cast("long").alias("n_dropped"))
+    joined = docs.join(side, (text_key(F.col(text_col)) == F.col(t)) & F.col(id_col).cast("long").eqNullSafe(F.col(i)), "left")
+    gone = F.aggregate(unpacked(F.col(m)), F.lit(0), lambda s, r: s + r["len"])
+    kept = [c for c in docs.columns if c.lower() not in (text_col.lower(), lines_as.lower(), dropped_as.lower())]
+    short = F.get(F.transform(F.array(unpacked(F.col(m))), lambda dropped: kept_lines(text, dropped)), 0)
+    return joined.select(*kept, F.when(F.col(m).isNull(), text).otherwise(short).alias(text_col), F.size(F.split(text, "\n")).cast("long").alias(lines_as), F.coalesce(gone, F.lit(0)).cast("long").alias(dropped_as))
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
