@@ -15,19 +15,20 @@ and need no spaces around them. Items go in blocks, each with its own tables, so
 number of items works.
 
 Defined cases: null and empty texts have no passage; null and blank items are ignored. Repeated rows each get their rows;
-null ids are allowed. Empty tables give no rows. Other columns are ignored.
+null ids are allowed, and a null item id comes out as -1. Empty tables give no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import maybe_broadcast, mix, words_of, written
+from millrace.llm.common import mix, text_key, without, words_of, written
 
 Q = 8
 PAD = 64
@@ -211,12 +212,21 @@ def scan_block(index: Index, texts: list[bytes]) -> list[tuple[int, int, int, in
     return rows
 
 
-def find_passages(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", max_edit: float = 0.08, walks: int = 6, tables: int = 6, bits: int = 5, block_items: int = 2_000, seed: int = 11) -> DataFrame:
-    """Rows (doc_id, tkey, item_id, edits, start, end), one for each text and item that it has, at its nearest stretch."""
-    spark = docs.sparkSession
-    known = [(r[0], normal(r[1])) for r in items.select(F.col(item_id).cast("long"), F.col(item_text).cast("string")).distinct().toLocalIterator()]
-    known = sorted({(-1 if i is None else i, t) for i, t in known if t})
-    sent = spark.sparkContext.broadcast(known)
+def find_passages(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", item_bytes: int = 32 << 20, **params) -> DataFrame:
+    """Rows (doc_id, tkey, item_id, edits, start, end), one for each text and item that it has, at its nearest stretch.
+
+    Items go to the workers at most about item_bytes at a time; more of them are found in several passes over docs.
+    """
+    known = items.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).cast("string").alias("text")).where("text is not null").distinct()
+    passes = -(-(known.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // item_bytes) or 1
+    share = F.pmod(F.xxhash64("text"), F.lit(passes))
+    found = [_one_pass(docs, known.where(share == k), id_col, text_col, **params) for k in range(passes)]
+    return reduce(DataFrame.union, found)
+
+
+def _one_pass(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, max_edit: float = 0.08, walks: int = 6, tables: int = 6, bits: int = 5, block_items: int = 2_000, seed: int = 11) -> DataFrame:
+    known = sorted({(-1 if i is None else i, t) for i, t in ((r[0], normal(r[1])) for r in items.toLocalIterator()) if t})
+    sent = docs.sparkSession.sparkContext.broadcast(known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = sent.value
@@ -248,15 +258,14 @@ def find_passages(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id",
                 kinds = [pa.int64()] * 3 + [pa.int32()] * 3
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["doc_id", "tkey", "item_id", "edits", "start", "end"])
 
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col).cast("string")).alias("tkey"), F.col(text_col).cast("string").alias("text"))
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_key(F.col(text_col)).alias("tkey"), F.col(text_col).cast("string").alias("text"))
     return texts.mapInArrow(run, FIELDS)
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:
     """docs without those that have a passage of any item."""
-    found = written(find_passages(docs, items, id_col=id_col, text_col=text_col, **params).select(F.col("doc_id").alias("_i"), F.col("tkey").alias("_t")).distinct(), "passages")
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("_i")) & (F.xxhash64(F.col(text_col).cast("string")) == F.col("_t"))
-    return docs.join(maybe_broadcast(found, found.count()), same, "left_anti")
+    found = written(find_passages(docs, items, id_col=id_col, text_col=text_col, **params).select("doc_id", "tkey").distinct(), "passages")
+    return without(docs, found, id_col, text_key(F.col(text_col)))
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -70,37 +70,43 @@ def best_boundaries(histogram: list[tuple[int, int]], buckets: int) -> list[int]
     return sorted(out)
 
 
-def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", buckets: int = 16, budget: int = 65_536, exact: int = 32_768) -> DataFrame:
-    """Per row: doc_id, n_tokens, bucket, boundary (padded length), batch (number within the bucket), slot (row of the batch)."""
+def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), buckets: int = 16, budget: int = 65_536, exact: int = 32_768) -> DataFrame:
+    """Per row: doc_id, n_tokens, bucket, boundary (padded length), batch (number within the bucket), slot (row of the batch).
+
+    carry: columns of docs, such as the text, that come along behind these; one of the names above can't be carried.
+    """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), token_count(F.col(text_col).cast("string")).alias("n_tokens"), F.xxhash64(F.col(text_col).cast("string")).alias("tkey"))
-    rows = written(rows.withColumn("size", rounded(F.col("n_tokens"), exact)), "sizes")
-    histogram = [tuple(r) for r in rows.groupBy("size").count().orderBy("size").collect()]
+    text = F.col(text_col).cast("string")
+    own = [F.col(id_col).cast("long").alias("doc_id"), token_count(text).alias("n_tokens"), F.xxhash64(text).alias("tkey")]
+    held = [f"c{k}" for k in range(len(carry))]
+    rows = docs.select(*own, *[F.col(c).alias(k) for c, k in zip(carry, held, strict=True)]).withColumn("size", rounded(F.col("n_tokens"), exact))
+    if not carry:
+        rows = written(rows, "sizes")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    order = ["size", "n_tokens", "doc_id", "tkey"]
+    ordered = written(rows.repartitionByRange(n, *order).sortWithinPartitions(*order).select(*order, *held, F.spark_partition_id().alias("p"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("i")), "ordered")
+    histogram = [tuple(r) for r in ordered.groupBy("size").count().orderBy("size").collect()]
     bounds = best_boundaries(histogram, buckets)
-    bucket = F.lit(len(bounds) - 1)
+    bucket = F.lit(max(len(bounds) - 1, 0))
     for k in range(len(bounds) - 2, -1, -1):
         bucket = F.when(F.col("size") <= bounds[k], k).otherwise(bucket)
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    order = ["size", "n_tokens", "doc_id", "tkey"]
-    ordered = written(rows.repartitionByRange(n, *order).sortWithinPartitions(*order).select(*order, F.spark_partition_id().alias("p"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("i")), "ordered")
     # A partition is a stretch of the order: its first row's rank is what lies in partitions before it.
-    per = {r["p"]: r["n"] for r in ordered.groupBy("p").agg(F.max("i").alias("n")).collect()}
     starts, seen = [], 0
-    for p in sorted(per):
-        starts += [F.lit(p), F.lit(seen)]
-        seen += per[p] + 1
-    first, seen = [], 0
-    counts = dict(histogram)
-    low = -1
+    for r in ordered.groupBy("p").agg(F.max("i").alias("n")).orderBy("p").collect():
+        starts.append((r["p"], seen))
+        seen += r["n"] + 1
+    first, seen, low = [], 0, -1
     for b in bounds:
         first.append(seen)
-        seen += sum(c for size, c in counts.items() if low < size <= b)
+        seen += sum(c for size, c in histogram if low < size <= b)
         low = b
-    ranked = ordered.withColumn("rank", F.create_map(*starts)[F.col("p")] + F.col("i")) if starts else ordered.withColumn("rank", F.col("i"))
+    # One row a partition: as many as there are shuffle partitions.
+    begins = F.broadcast(spark.createDataFrame(starts, "p int, begin long"))
     array = lambda xs: F.array(*[F.lit(x).cast("long") for x in (xs or [0])])
-    out = ranked.withColumn("bucket", bucket.cast("int") if bounds else F.lit(0)).withColumn("boundary", F.get(array(bounds), F.col("bucket")))
-    out = out.withColumn("at", F.col("rank") - F.get(array(first), F.col("bucket"))).withColumn("rows", F.greatest(F.lit(1), F.floor(F.lit(budget) / F.greatest(F.col("boundary"), F.lit(1)))).cast("long"))
-    return out.select("doc_id", "n_tokens", "bucket", "boundary", F.floor(F.col("at") / F.col("rows")).cast("long").alias("batch"), (F.col("at") % F.col("rows")).cast("long").alias("slot"))
+    out = ordered.join(begins, "p").withColumn("bucket", bucket.cast("int")).withColumn("boundary", F.get(array(bounds), F.col("bucket")))
+    out = out.withColumn("at", F.col("begin") + F.col("i") - F.get(array(first), F.col("bucket"))).withColumn("rows", F.greatest(F.lit(1), F.floor(F.lit(budget) / F.greatest(F.col("boundary"), F.lit(1)))).cast("long"))
+    mine = [F.floor(F.col("at") / F.col("rows")).cast("long").alias("batch"), (F.col("at") % F.col("rows")).cast("long").alias("slot")]
+    return out.select("doc_id", "n_tokens", "bucket", "boundary", *mine, *[F.col(k).alias(c) for c, k in zip(carry, held, strict=True)])
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
