@@ -5,8 +5,11 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,10 +30,35 @@ def words_of(text: str | None, lower: bool = True) -> list[bytes]:
     return (raw.lower() if lower else raw).split()
 
 
-def word_hashes(words: list[bytes]) -> np.ndarray:
+def word_hashes(words: list[bytes] | np.ndarray) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
+def texts_word_hashes(texts: pa.Array, lower: bool = True, at_once: int = 8 << 20) -> Iterator[np.ndarray]:
+    """For each text what word_hashes(words_of(text, lower)) gives; about at_once bytes of text are split at a time, and
+    each distinct word among them is hashed once."""
+    sizes = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+    cuts = np.unique(np.concatenate([[0], np.searchsorted(sizes, np.arange(at_once, sizes[-1], at_once)), [len(texts)]])) if len(texts) else [0]
+    for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+        part = texts[lo:hi].fill_null("")
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(part) if lower else part)
+        flat = lists.flatten()
+        full = pc.greater(pc.binary_length(flat), 0).to_numpy(zero_copy_only=False)
+        ends = np.cumsum(lists.value_lengths().to_numpy())
+        coded = flat.filter(pa.array(full)).dictionary_encode()
+        hashes = word_hashes(coded.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False))[coded.indices.to_numpy()]
+        ends = np.concatenate([[0], np.cumsum(full)])[ends]
+        for a, z in zip([0, *ends[:-1]], ends, strict=True):
+            yield hashes[a:z]
+
+
+def sorted_distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values in order and how often each occurs; much quicker than np.unique."""
+    x = np.sort(x)
+    first = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
+    return x[first], np.diff(np.append(first, len(x)))
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser."""
     h = h ^ (h >> np.uint64(33))
@@ -140,14 +168,33 @@ def text_key(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
 
 
-def components(links: DataFrame, tag: str = "cc", most_rounds: int = 60) -> DataFrame:
+def _few_components(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (node, label) of all the edges (u, v) of one task: labels hook onto lesser ones and take their labels' labels."""
+    both = [b for b in batches if b.num_rows]
+    if not both:
+        return
+    u, v = (np.concatenate([b.column(i).to_numpy() for b in both]) for i in (0, 1))
+    nodes = sorted_distinct(np.concatenate([u, v]))[0]
+    u, v = np.searchsorted(nodes, u), np.searchsorted(nodes, v)
+    label = np.arange(len(nodes))
+    while (differ := label[u] != label[v]).any():
+        high, low = np.maximum(label[u], label[v])[differ], np.minimum(label[u], label[v])[differ]
+        np.minimum.at(label, high, low)
+        while (up := label[label])[label != up].size:
+            label = up
+    yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[label])], ["node", "label"])
+
+
+def components(links: DataFrame, tag: str = "cc", most_rounds: int = 60, in_one: int = 1 << 20) -> DataFrame:
     """Connected components of links (a, b): rows (node, label), label the least node that can be reached.
 
-    Large-star and small-star steps in turn, each a shuffle on nodes; rounds grow with the logarithm of a component's
-    width, and components that do not settle in most_rounds raise. Self links and repeated links change nothing; no
-    links, no rows.
+    At most in_one links (16 bytes each) are a single task's work. More take large-star and small-star steps in turn, each a
+    shuffle on nodes; rounds grow with the logarithm of a component's width, and components that do not settle in
+    most_rounds raise. Self links and repeated links change nothing; no links, no rows.
     """
     edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), tag)
+    if edges.count() <= in_one:
+        return edges.coalesce(1).mapInArrow(_few_components, "node long, label long")
     last = None
     for _ in range(most_rounds):
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from millrace.llm.common import components, discard, maybe_broadcast, release, text_key, windows_hash, word_hashes, words_of, written
+from millrace.llm.common import components, discard, maybe_broadcast, release, sorted_distinct, text_key, texts_word_hashes, windows_hash, word_hashes, words_of, written
 
 #: At most so many frequent shingles (8 bytes each) are sent to the workers.
 MOST_HEAVY = 1 << 20
@@ -40,7 +40,13 @@ SALTS = 64
 
 def shingle_set(text: str | None, width: int) -> np.ndarray:
     """Sorted distinct shingle hashes of the whole text."""
-    return np.unique(windows_hash(word_hashes(words_of(text)), width))
+    return sorted_distinct(windows_hash(word_hashes(words_of(text)), width))[0]
+
+
+def shingle_sets(texts: pa.Array, width: int) -> Iterator[np.ndarray]:
+    """shingle_set() of each text."""
+    for words in texts_word_hashes(texts):
+        yield sorted_distinct(windows_hash(words, width))[0]
 
 
 def signature(found: np.ndarray) -> int:
@@ -88,7 +94,7 @@ def _sets(docs: DataFrame, width: int, at_least: int) -> DataFrame:
         size = 0
 
         def counted() -> pa.RecordBatch:
-            tokens, n = np.unique(np.concatenate(held), return_counts=True)
+            tokens, n = sorted_distinct(np.concatenate(held))
             keep = n >= at_least
             tokens, n = signed(tokens[keep]), n[keep]
             none = pa.nulls(len(n), pa.int64())
@@ -96,8 +102,7 @@ def _sets(docs: DataFrame, width: int, at_least: int) -> DataFrame:
 
         for b in batches:
             sizes, sigs, seconds, sketches = [], [], [], []
-            for text in b.column(1):
-                found = shingle_set(text.as_py(), width)
+            for found in shingle_sets(b.column(1), width):
                 sizes.append(len(found))
                 sigs.append(signature(found) if len(found) else 0)
                 seconds.append(second_signature(found) if len(found) else 0)
@@ -140,8 +145,7 @@ def _prefixes(docs: DataFrame, width: int, percent: int, heavy: np.ndarray, shar
         for b in batches:
             parts: list[tuple[np.ndarray, ...]] = []
             size = 0
-            for text in b.column(0):
-                found = shingle_set(text.as_py(), width)
+            for found in shingle_sets(b.column(0), width):
                 n = len(found)
                 if not n or (sig := name_of(found, shared)) in seen:
                     continue
@@ -177,8 +181,7 @@ def _fragments(docs: DataFrame, width: int, fragments: int, short: bool, heavy:
         maybe = first_bits(heavy)
         for b in batches:
             sigs, groups, parts = [], [], []
-            for text in b.column(0):
-                found = shingle_set(text.as_py(), width)
+            for found in shingle_sets(b.column(0), width):
                 if not len(found) or (sig := name_of(found, shared)) in seen:
                     continue
                 if len(seen) < 500_000:
@@ -310,7 +313,7 @@ def _linked(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
         left = (per.agg(F.sum((F.col("all") * F.col("all") - F.col("same")) / 2)).first()[0] or 0) if size else 0
         if not left:
             break
-        whole = turn == rounds or left <= 2 * size or (last is not None and (left <= 8 * size or left > 0.7 * last))
+        whole = turn == rounds or left <= 8 * size or (last is not None and left > 0.7 * last)
         last = left
         xs = lambda t, *more: t.select("token", F.col("sig").alias("a"), F.col("n").alias("xn"), F.col("pos").alias("xp"), F.col("label").alias("xl"), *more)
         ys = lambda t, *more: t.select("token", F.col("sig").alias("b"), F.col("n").alias("yn"), F.col("pos").alias("yp"), F.col("label").alias("yl"), *more)
