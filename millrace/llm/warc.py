@@ -106,18 +106,23 @@ def choose_revisits(pages: DataFrame, min_bytes: int) -> tuple[DataFrame, int]:
 def write_archives(pages: DataFrame, path: str, *, min_revisit_bytes: int = 0, level: int = 3, dict_bytes: int = 65_536, sample_records: int = 1_000, sample_bytes: int = 2_048, date: str = "1970-01-01T00:00:00Z") -> None:
     """Write pages (page_id, url, html) as archives under path, one for each input partition.
 
-    The dictionary is trained on slices of `sample_bytes` from the `sample_records` pages whose hashes are least, spread
-    over the whole table; it changes sizes only, never content.
+    The dictionary is trained on archived records, headers and all, their payloads cut to a stretch of `sample_bytes`: those
+    of the `sample_records` pages whose hashes are least, spread over the whole table. A threshold on the hash comes first,
+    so that about twice as many rows and no more are looked at however large the table is, and pages that repeat in every
+    column count once. The dictionary changes sizes only, never content.
     """
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"))
-    order = F.xxhash64("page_id", F.octet_length("payload"))
-    at = F.pmod(order, F.greatest(F.lit(1), F.octet_length("payload") - sample_bytes)).cast("int") + 1
-    rows = pages.select(order.alias("o"), F.substring("payload", at, F.lit(sample_bytes)).alias("s")).orderBy("o", "s").limit(sample_records).collect()
-    raw = train_dictionary([bytes(r.s) for r in rows if r.s] or [b"<!DOCTYPE html>"], dict_bytes)
     revisits, n = choose_revisits(pages, min_revisit_bytes)
     same = (F.col("p.page_id").eqNullSafe(F.col("r.page_id"))) & (F.col("p.sha") == F.col("r.sha"))
     todo = pages.withColumn("sha", F.sha1("payload")).alias("p").join(maybe_broadcast(revisits.alias("r"), n), same, "left").select("p.page_id", "p.url", "p.payload", "r.refers_to", F.col("r.sha").isNotNull().alias("revisit"))
 
+    order = F.xxhash64("page_id", "url", F.octet_length("payload"))
+    wide = 2.0**62 * min(1.0, 2 * sample_records / max(pages.count(), 1))
+    at = F.pmod(order, F.greatest(F.lit(1), F.octet_length("payload") - sample_bytes)).cast("int") + 1
+    few = todo.where(F.abs(order / 2) <= wide).withColumn("o", order).withColumn("payload", F.substring("payload", at, F.lit(sample_bytes)))
+    rows = few.groupBy("o").agg(F.first(F.struct("page_id", "url", "payload", "refers_to", "revisit")).alias("r")).orderBy("o").limit(sample_records).select("r.*").collect()
+    raw = train_dictionary([build_record(r.page_id, r.url, bytes(r.payload), r.refers_to, r.revisit, date) for r in rows] or [b"WARC/1.1\r\n"], dict_bytes)
+
     def frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dictionary = load_dictionary(raw)
         if dictionary:
@@ -164,3 +169,19 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "warc")
     write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"), path, min_revisit_bytes=0)
     return read_archives(spark, path, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP1_SQL = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS t FROM pages),
+h AS (SELECT DISTINCT t, sha1(t) AS x FROM p),
+digests AS (
+  SELECT t, string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (((
+    16 * (strpos('0123456789abcdef', substr(x, 5 * i // 4 + 1, 1)) - 1) + strpos('0123456789abcdef', substr(x, 5 * i // 4 + 2, 1)) - 1
+    ) // (CASE 5 * i % 4 WHEN 0 THEN 8 WHEN 1 THEN 4 WHEN 2 THEN 2 ELSE 1 END)) % 32)::INT, 1), '' ORDER BY i) AS d
+  FROM h, range(32) AS r(i) GROUP BY t),
+firsts AS (SELECT t, min(page_id) AS least FROM p GROUP BY t)
+SELECT p.page_id, strlen(p.t) AS payload_bytes, d.d AS payload_digest,
+  CASE WHEN p.page_id = f.least THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN p.page_id <> f.least THEN f.least END AS refers_to
+FROM p JOIN digests d ON d.t = p.t JOIN firsts f ON f.t = p.t
+"""
