@@ -1,19 +1,25 @@
 """Language model scores from a probabilistic suffix tree over the characters of words.
 
-Symbols are characters; a word's end is a symbol, and so is the text's end. A context is a suffix of what precedes a symbol:
-up to `depth` symbols of its word, word start included, and for the first `REACH` symbols of a word also the last `REACH` of
-the word before. Training therefore needs two tables alone, the distinct words and the distinct joints (end of a word, start
-of the next), each with counts that combine before they shuffle. A context stays in the tree if it holds at least 1 / `share`
-of all symbols (which bounds the tree: at most `share` contexts for each length) and if its next-symbol distribution
-diverges from its parent's (count times Kullback-Leibler divergence above `gain` nats for each symbol seen in it), or if a
-longer context that stays needs it. Distributions are smoothed towards the parent's with weight T / (n + T), T the distinct
-symbols seen (Witten and Bell), and the root's towards all code points evenly. Scoring takes the longest suffix state of the
-tree for each symbol.
+Symbols are characters; a word's end is a symbol, and so is the text's end. What precedes a symbol is its history: the last
+`depth` symbols of its word, word start included, and for the first `REACH` symbols of a word also the last `REACH`
+characters of the word before. A context is a suffix of a history. Training needs two kinds of keys alone, the distinct words
+(for the symbols behind the first REACH) and the distinct joints (end of a word, first REACH symbols of the next; a text's
+first word has a joint with nothing before it), each with counts that combine before they shuffle.
 
-The `most_joints` joints seen most often are priced once and broadcast; others are priced where they occur.
+A context is retained if it occurs `least` times in training and its next-symbol distribution diverges from what shorter
+retained contexts say (count times Kullback-Leibler divergence above `gain` nats for each symbol seen in it). Its
+distribution is smoothed towards theirs with weight T / (n + T), T the distinct symbols seen (Witten and Bell), and the
+root's towards all code points evenly. Each symbol is scored in its longest retained context.
 
-The base score is the add-0.1 unigram score of the contract. Words that hold at least 1 / `most_words` of all tokens are at
-most `most_words` and are broadcast; all others are joined by word, after each text has counted its own.
+The tree is never in one place, and it grows with the corpus: no bound but `least` limits it. The symbols of all keys, those
+of held-out texts with count 0, are dealt by the last two symbols of their histories, so that all contexts of two symbols and
+more that a symbol needs lie in one task with it; distributions of the root and of single symbols are joined to them before.
+A task sorts its histories, in which every context is a stretch, and prices each symbol. Prices are summed per key.
+
+Keys that hold at least 1 / `share` of all words or joints are at most `share` each; their hashes and prices, 25 bytes each,
+are broadcast. All others are joined by hash, after each text has counted its own. Keys are named by 64-bit hashes.
+
+The base score is the add-0.1 unigram score of the contract.
 
 Defined cases: null and empty texts have one token, the end. Repeated rows are scored each; null ids count as training
 rows. Empty tables give no rows. Other columns are ignored.
@@ -29,43 +35,34 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import fold, mix, release, written
+from millrace.llm.common import discard, fold, maybe_broadcast, mix, release, written
 
 START, END = 0x110000, 0x110001
 CODE_POINTS = 0x110002
 #: Symbols on either side of a joint.
 REACH = 3
+#: The longest history that three 63-bit numbers hold, and the bits of a symbol.
+LONGEST, WIDTH = 8, 21
 #: Distinct keys that a Python worker holds before it passes their counts on.
 HELD_WORDS = 800_000
-#: Characters of words that are worked on at once, and words of texts.
-BLOCK, WORDS = 2_000_000, 800_000
+#: Characters of words that are worked on at once, words of texts, and symbols that are priced at once.
+BLOCK, WORDS, SYMBOLS = 1_000_000, 800_000, 500_000
 
 
-def _flat(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols of all words, START before and END after each, and each symbol's distance from its word's START."""
-    text = " " + "  ".join(w.decode("utf-8", "surrogatepass") for w in words) + " "
-    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-    sizes = np.fromiter((len(w.decode("utf-8", "surrogatepass")) + 2 for w in words), np.int64, len(words))
+def _flat(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Symbols of all words, START before and END after each; each symbol's distance from its word's START; and its word."""
+    plain = [w.decode("utf-8", "surrogatepass") for w in words]
+    codes = np.frombuffer((" " + "  ".join(plain) + " ").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    sizes = np.fromiter(map(len, plain), np.int64, len(words)) + 2
     ends = np.cumsum(sizes)
     starts = ends - sizes
     codes[starts] = START
     codes[ends - 1] = END
-    return codes, np.arange(len(codes)) - np.repeat(starts, sizes)
-
-
-def contexts(codes: np.ndarray, reach: np.ndarray, at: np.ndarray, depth: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For each length up to depth: those of the positions `at` with so much before them (reach), the hash of that context,
-    and the hash of its suffix that is one shorter."""
-    h = np.full(len(codes), 0x9E3779B97F4A7C15, np.uint64)
-    yield at, h[at], np.zeros(len(at), np.uint64)
-    for d in range(1, depth + 1):
-        at = at[reach[at] >= d]
-        parent = h[at].copy()
-        h[at] = mix(parent * np.uint64(0xD6E8FEB86659FD93) + codes[at - d].astype(np.uint64) + np.uint64(d))
-        yield at, h[at], parent
+    return codes, np.arange(len(codes)) - np.repeat(starts, sizes), np.repeat(np.arange(len(words)), sizes)
 
 
 def _joint_symbols(joints: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -81,100 +78,22 @@ def _joint_symbols(joints: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndar
     return codes, index - mid, index, owner
 
 
-def _blocks(words: list[bytes]) -> Iterator[tuple[int, int]]:
-    sizes = np.cumsum([len(w) + 2 for w in words])
-    cuts = np.unique(np.concatenate([[0], np.searchsorted(sizes, np.arange(BLOCK, sizes[-1], BLOCK)), [len(words)]])) if words else [0]
-    yield from zip(cuts[:-1], cuts[1:], strict=True)
-
-
-class Keys:
-    """Sorted hashes with a table of where each prefix of bits begins; they are even, so a look-up takes a step or two."""
-
-    def __init__(self, keys: np.ndarray) -> None:
-        self.bits = max(1, len(keys).bit_length())
-        self.keys = np.append(keys, np.uint64(2**64 - 1))
-        self.first = np.searchsorted(keys, np.arange(1 << self.bits, dtype=np.uint64) << np.uint64(64 - self.bits)).astype(np.int32)
-        self.n = len(keys)
-
-    def find(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Index of each hash, where it is one of the keys; and whether it is."""
-        at = self.first[(wanted >> np.uint64(64 - self.bits)).astype(np.int64)]
-        less = np.flatnonzero(self.keys[at] < wanted)
-        while len(less):
-            at[less] += 1
-            less = less[self.keys[at[less]] < wanted[less]]
-        return np.minimum(at, max(self.n - 1, 0)), (self.keys[at] == wanted) & (at < self.n)
-
-
-class Tree:
-    """Retained contexts by length, and the counts of the symbols seen in them; arrays sorted by hash."""
-
-    def __init__(self, rows: dict[str, np.ndarray], depth: int, gain: float) -> None:
-        """rows: level, ctx, parent, sym, n of every frequent context."""
-        self.depth = depth
-        raw = []
-        for d in range(max(depth, 2 * REACH) + 1):
-            m = rows["level"] == d
-            ctx, parent, sym, n = rows["ctx"][m], rows["parent"][m], rows["sym"][m], rows["n"][m].astype(np.float64)
-            ids, first, inv = np.unique(ctx, return_index=True, return_inverse=True)
-            total, kinds = np.bincount(inv, n, len(ids)), np.bincount(inv, minlength=len(ids)).astype(np.float64)
-            edge = mix(ctx * np.uint64(31) + sym.astype(np.uint64))
-            order = np.argsort(edge)
-            stay = np.ones(len(ids), bool)
-            if d and len(ids):
-                up_ids, up_total, _, up_edges, up_n = raw[-1][:5]
-                at, _ = Keys(up_ids).find(parent)
-                e, seen = Keys(up_edges).find(mix(parent * np.uint64(31) + sym.astype(np.uint64)))
-                above = np.where(seen, up_n[e] / up_total[at], 1.0 / CODE_POINTS)
-                stay = np.bincount(inv, n * np.log(n / total[inv] / above), len(ids)) > gain * kinds
-            raw.append([ids, total, kinds, edge[order], n[order], parent[first] if len(ids) else ids, stay, inv[order]])
-        for d in range(len(raw) - 1, 0, -1):
-            raw[d - 1][6] |= np.isin(raw[d - 1][0], raw[d][5][raw[d][6]])
-        self.levels = [(Keys(x[0][x[6]]), x[1][x[6]], x[2][x[6]], Keys(x[3][keep := x[6][x[7]] if len(x[7]) else np.zeros(0, bool)]), x[4][keep]) for x in raw]
-
-    def walk(self, codes: np.ndarray, reach: np.ndarray, at: np.ndarray, depth: int, known: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
-        """Probability of each symbol at the positions, in its longest suffix state. known: probabilities of all symbols in
-        states up to a length, and that length, so that only longer contexts are looked up."""
-        p = np.full(len(codes), 1.0 / CODE_POINTS) if known is None else known[0].copy()
-        for d, ((where, h, _), (ids, total, kinds, edges, n)) in enumerate(zip(contexts(codes, reach, at, depth), self.levels, strict=False)):
-            if known is not None:
-                longer = d > known[1][where]
-                where, h = where[longer], h[longer]
-            if not len(where) or not ids.n:
-                continue
-            k, inside = ids.find(h)
-            if inside.any():
-                w, c, k = where[inside], h[inside], k[inside]
-                e, seen = edges.find(mix(c * np.uint64(31) + codes[w].astype(np.uint64)))
-                p[w] = (np.where(seen, n[e] if len(n) else 0.0, 0.0) + kinds[k] * p[w]) / (total[k] + kinds[k])
-        return p[at]
-
-    def words_log10(self, words: list[bytes]) -> np.ndarray:
-        """log10 of each word's probability, its end included, when nothing is known of the word before."""
-        out = np.zeros(len(words))
-        for a, b in _blocks(words):
-            codes, place = _flat(words[a:b])
-            owner = np.cumsum(codes == START) - 1
+def symbols_of(keys: list[bytes], depth: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Of words, then of joints: each scored symbol's key (index in keys), the symbol, and its history, nearest first [depth,
+    symbols], 0 where it has ended and else the symbol's code plus 1."""
+    is_joint = np.fromiter((b" " in k for k in keys), bool, len(keys))
+    for joints in (False, True):
+        own = np.flatnonzero(is_joint == joints)
+        if not len(own):
+            continue
+        if joints:
+            codes, place, reach, owner = _joint_symbols([keys[i] for i in own])
             at = np.flatnonzero(place > 0)
-            out[a:b] = np.bincount(owner[at], np.log10(self.walk(codes, place, at, self.depth)), b - a)
-        return out
-
-    def joints_log10(self, joints: list[bytes]) -> np.ndarray:
-        """What the word before adds to log10 of the probability of a word's first symbols."""
-        if not joints:
-            return np.zeros(0)
-        codes, place, index, owner = _joint_symbols(joints)
-        at = np.flatnonzero(place > 0)
-        # Without the word before, the symbols' probabilities depend on the heads alone.
-        heads, inv = np.unique(np.array([j[j.index(b" ") :] for j in joints], object), return_inverse=True)
-        h_codes, h_place, _, h_owner = _joint_symbols(list(heads))
-        h_at = np.flatnonzero(h_place > 0)
-        table = np.ones((len(heads), REACH + 1))
-        table[h_owner[h_at], h_place[h_at]] = self.walk(h_codes, np.minimum(h_place, self.depth), h_at, min(self.depth, REACH))
-        near = np.ones(len(codes))
-        near[at] = table[inv[owner[at]], place[at]]
-        far = self.walk(codes, index, at, 2 * REACH, (near, place))
-        return np.bincount(owner[at], np.log10(far / near[at]), len(joints))
+        else:
+            codes, reach, owner = _flat([keys[i] for i in own])
+            at = np.flatnonzero(reach > REACH)
+        back = [np.where(reach[at] >= j, codes[np.maximum(at - j, 0)] + 1, 0) for j in range(1, depth + 1)]
+        yield own[owner[at]], codes[at], np.array(back, np.int64).reshape(depth, len(at))
 
 
 class Texts:
@@ -193,13 +112,15 @@ class Texts:
         self.text = text
         codes = self.codes = coded.indices.to_numpy().astype(np.int64)
         plain = [w.decode("utf-8", "surrogatepass") for w in self.words]
-        tails, self.tails = pd.factorize(np.array([w[-REACH:] for w in plain], object)) if plain else (codes, [])
-        heads, self.heads = pd.factorize(np.array([(w + "\n")[:REACH] for w in plain], object)) if plain else (codes, [])
-        self.tails = [t.encode("utf-8", "surrogatepass") + b" " for t in self.tails]
-        self.heads = [t.encode("utf-8", "surrogatepass") for t in self.heads]
-        inner = np.flatnonzero(self.text[1:] == self.text[:-1]) if len(codes) else np.zeros(0, np.int64)
-        self.pair_text = self.text[inner]
-        self.pairs = tails[codes[inner]].astype(np.int64) << 32 | heads[codes[inner + 1]]
+        tails, own_tails = pd.factorize(np.array([w[-REACH:] for w in plain], object)) if plain else (codes, [])
+        heads, own_heads = pd.factorize(np.array([(w + "\n")[:REACH] for w in plain], object)) if plain else (codes, [])
+        # The last tail is that of no word.
+        self.tails = [t.encode("utf-8", "surrogatepass") + b" " for t in [*own_tails, ""]]
+        self.heads = [t.encode("utf-8", "surrogatepass") for t in own_heads]
+        before = np.full(len(codes), len(own_tails), np.int64)
+        inner = np.flatnonzero(text[1:] == text[:-1])
+        before[inner + 1] = tails[codes[inner]]
+        self.pairs = before << 32 | heads[codes] if plain else codes
 
     def joint(self, pair: int) -> bytes:
         return self.tails[pair >> 32] + self.heads[pair & 0xFFFFFFFF]
@@ -214,7 +135,7 @@ def in_parts(texts: pa.Array) -> Iterator[tuple[int, int]]:
 
 def word_counts(docs: DataFrame, held_out: int) -> DataFrame:
     """word, c (occurrences in training rows) and a (in all rows). The word '' stands for the texts' ends; a word with a space
-    is a joint, which is counted in training rows only."""
+    is a joint."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         train: Counter[bytes] = Counter()
@@ -234,13 +155,14 @@ def word_counts(docs: DataFrame, held_out: int) -> DataFrame:
                 t = Texts(texts[lo:hi])
                 aside = outs[lo:hi]
                 for held, mine in ((train, ~aside), (rest, aside)):
-                    n = np.bincount(t.codes[mine[t.text]], minlength=len(t.words))
+                    here = mine[t.text]
+                    n = np.bincount(t.codes[here], minlength=len(t.words))
                     for k in np.flatnonzero(n):
                         held[t.words[k]] += int(n[k])
+                    pairs, n = np.unique(t.pairs[here], return_counts=True)
+                    for k, m in zip(pairs.tolist(), n.tolist(), strict=True):
+                        held[t.joint(k)] += m
                     held[b""] += int(mine.sum())
-                pairs, n = np.unique(t.pairs[~aside[t.pair_text]], return_counts=True)
-                for k, m in zip(pairs.tolist(), n.tolist(), strict=True):
-                    train[t.joint(k)] += m
                 if len(train) + len(rest) > HELD_WORDS:
                     yield from out()
         yield from out()
@@ -252,158 +174,193 @@ def word_counts(docs: DataFrame, held_out: int) -> DataFrame:
 JOINT = "locate(' ', cast(word as string)) > 0"
 
 
-def _positions(words: list[bytes], weight: list[int], depth: int) -> Iterator[tuple[bool, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Of a block of words and joints: whether joints, context length, symbols, context hashes, parents' hashes, weights."""
-    plain = [(w, n) for w, n in zip(words, weight, strict=True) if b" " not in w]
-    if plain:
-        codes, place = _flat([w for w, _ in plain])
-        n = np.array([n for _, n in plain])[np.cumsum(codes == START) - 1]
-        for d, (at, h, parent) in enumerate(contexts(codes, place, np.flatnonzero(place > 0), depth)):
-            yield False, d, codes[at], h, parent, n[at]
-    joints = [(w, n) for w, n in zip(words, weight, strict=True) if b" " in w]
-    if joints:
-        codes, place, index, owner = _joint_symbols([w for w, _ in joints])
-        n = np.array([n for _, n in joints])[owner]
-        for d, (at, h, parent) in enumerate(contexts(codes, index, np.flatnonzero(place > 0), 2 * REACH)):
-            over = d > place[at]
-            yield True, d, codes[at[over]], h[over], parent[over], n[at[over]]
-
-
-def _summed(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each distinct key: a row that has it, and its sum of n."""
-    order = np.argsort(key)
-    key = key[order]
-    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    return order[first], np.add.reduceat(n[order], first)
-
-
-def build_tree(counts: DataFrame, depth: int, share: int, gain: float) -> Tree:
-    """From the training counts of words and joints, in two passes over blocks of them.
-
-    A context that holds 1 / share of all symbols holds as much of some block, so the first pass names a few candidates for
-    each block (at most share a length); the second counts the candidates' next symbols everywhere. The frequent ones come
-    to the driver. Nothing else is shuffled.
+def _key_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list[bytes], np.ndarray]]:
+    """Batches of (hash, word, count) in blocks of about BLOCK characters."""
+    for b in batches:
+        words = b.column(1).to_pylist()
+        hashes, n = b.column(0).to_numpy(), b.column(2).to_numpy()
+        sizes = np.cumsum([len(w) + 2 for w in words]) if words else np.zeros(0, np.int64)
+        cuts = np.unique(np.concatenate([[0], np.searchsorted(sizes, np.arange(BLOCK, sizes[-1] if len(sizes) else 0, BLOCK)), [len(words)]]))
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            yield hashes[lo:hi], words[lo:hi], n[lo:hi]
+
+
+def short_prices(keys: DataFrame, least: int, gain: float) -> DataFrame:
+    """Rows (h1, sym, p1): the probability of each symbol behind each single symbol, from contexts of one symbol and none."""
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, words, n in _key_blocks(batches):
+            for own, sym, back in symbols_of(words, 1):
+                pair, inv = np.unique(back[0] << WIDTH | sym, return_inverse=True)
+                total = np.bincount(inv, n[own], len(pair)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array((pair >> WIDTH).astype(np.int32)), pa.array((pair & ((1 << WIDTH) - 1)).astype(np.int32)), pa.array(total)], ["h1", "sym", "n"])
+
+    edges = written(keys.mapInArrow(pairs, "h1 int, sym int, n long").groupBy("h1", "sym").agg(F.sum("n").alias("n")), "pairs")
+    root = edges.groupBy("sym").agg(F.sum("n").alias("n0"))
+    total, kinds = root.agg(F.coalesce(F.sum("n0"), F.lit(0)), F.count(F.when(F.col("n0") > 0, 1))).first()
+    # At most one row a code point.
+    root = F.broadcast(root.select("sym", ((F.col("n0") + kinds / CODE_POINTS) / max(total + kinds, 1)).alias("p0") if kinds else F.lit(1 / CODE_POINTS).alias("p0")))
+    edges = edges.join(root, "sym")
+    some = F.col("n") > 0
+    diverge = F.sum(F.when(some, F.col("n") * (F.ln(F.when(some, F.col("n"))) - F.ln("p0")))) - F.sum("n") * F.ln(F.sum("n"))
+    states = edges.groupBy("h1").agg(F.sum("n").alias("t"), F.count(F.when(some, 1)).alias("kinds"), diverge.alias("gained"))
+    stays = (F.col("t") >= least) & (F.col("gained") > gain * F.col("kinds"))
+    return edges.join(F.broadcast(states), "h1").select("h1", "sym", F.when(stays, (F.col("n") + F.col("kinds") * F.col("p0")) / (F.col("t") + F.col("kinds"))).otherwise(F.col("p0")).alias("p1"))
+
+
+def price_symbols(h12: np.ndarray, e1: np.ndarray, e2: np.ndarray, sym: np.ndarray, n: np.ndarray, p: np.ndarray, depth: int, least: int, gain: float) -> np.ndarray:
+    """The probability of each symbol from its longest retained context; p: that from contexts of one symbol and none.
+
+    The histories, packed nearest symbol first, must hold all of training that ends in their last two symbols.
     """
-    spark = counts.sparkSession
-    trained = counts.where("c > 0 and length(word) > 0")
-    symbols, joined = trained.agg(F.sum(F.when(F.expr(f"not {JOINT}"), F.col("c") * (F.length("word") + 1))), F.sum(F.when(F.expr(JOINT), F.col("c") * REACH))).first()
-    symbols, joined = symbols or 0, joined or 0
-    floor = max(2, symbols // share)
-
-    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[bytes], list[int]]]:
-        words: list[bytes] = []
-        weight: list[int] = []
+    order = np.lexsort((e2, e1, h12))
+    h12, e1, e2, sym, n, p = (x[order] for x in (h12, e1, e2, sym, n.astype(np.float64), p.astype(np.float64)))
+    mask = (1 << WIDTH) - 1
+    active = np.flatnonzero((h12 & mask) > 0)
+    new = np.ones(len(h12), bool)
+    if len(new):
+        new[1:] = h12[1:] != h12[:-1]
+    for d in range(2, depth + 1):
+        if d > 2:
+            word, at = (e1, d - 3) if d < 6 else (e2, d - 6)
+            shift = WIDTH * (2 - at)
+            own = word >> shift
+            new[1:] |= own[1:] != own[:-1]
+            active = active[(own[active] & mask) > 0]
+        if not len(active):
+            break
+        context = np.cumsum(new)[active]
+        key = context << WIDTH | sym[active]
+        by = np.argsort(key, kind="stable")
+        key, rows = key[by], active[by]
+        edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        n_edge, p_edge = np.add.reduceat(n[rows], edge), p[rows[edge]]
+        state = np.flatnonzero(np.concatenate([[True], (key[edge[1:]] >> WIDTH) != (key[edge[:-1]] >> WIDTH)]))
+        total, kinds = np.add.reduceat(n_edge, state), np.add.reduceat((n_edge > 0).astype(np.float64), state)
+        wide = np.diff(np.append(state, len(edge)))
+        t_edge = np.repeat(total, wide)
+        gained = np.add.reduceat(n_edge * np.log(np.where(n_edge > 0, n_edge / np.maximum(t_edge, 1) / p_edge, 1.0)), state)
+        often = total >= least
+        stays = np.repeat(often & (gained > gain * kinds), wide)
+        k_edge = np.repeat(kinds, wide)
+        p_edge = np.where(stays, (n_edge + k_edge * p_edge) / np.maximum(t_edge + k_edge, 1), p_edge)
+        size = np.diff(np.append(edge, len(rows)))
+        p[rows] = np.repeat(p_edge, size)
+        # A longer context is no more frequent than its suffix.
+        active = np.sort(rows[np.repeat(np.repeat(often, wide), size)])
+    out = np.empty(len(p))
+    out[order] = p
+    return out
+
+
+def key_prices(keys: DataFrame, depth: int, least: int, gain: float) -> DataFrame:
+    """keys: h, word, c. Rows (h, ls): the sum of log10 of the probabilities of a key's scored symbols; none for a key without."""
+    if not 2 <= depth <= LONGEST:
+        raise ValueError(f"histories have 2 to {LONGEST} symbols")
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for h, words, n in _key_blocks(batches):
+            for own, sym, back in symbols_of(words, depth):
+                back = np.concatenate([back, np.zeros((LONGEST - depth, back.shape[1]), np.int64)])
+                three = lambda i, b=back: pa.array(b[i] << 2 * WIDTH | b[i + 1] << WIDTH | b[i + 2])
+                yield pa.RecordBatch.from_arrays([pa.array(h[own]), pa.array(back[0].astype(np.int32)), pa.array(back[0] << WIDTH | back[1]), three(2), three(5), pa.array(sym.astype(np.int32)), pa.array(n[own])], ["h", "h1", "h12", "e1", "e2", "sym", "n"])
+
+    def price(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
         size = 0
+
+        def out(cols: list[np.ndarray]) -> pa.RecordBatch:
+            p = price_symbols(*cols[1:], depth, least, gain)
+            own, inv = np.unique(cols[0], return_inverse=True)
+            return pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.bincount(inv, np.log10(p), len(own)))], ["h", "ls"])
+
         for b in batches:
-            for word, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                words.append(word)
-                weight.append(n)
-                size += len(word) + 2
-                if size > BLOCK:
-                    yield words, weight
-                    words, weight, size = [], [], 0
-        if words:
-            yield words, weight
-
-    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for words, weight in blocks(batches):
-            joints = [b" " in w for w in words]
-            here = {k: sum((REACH if k else len(w) + 1) * n for w, n, j in zip(words, weight, joints, strict=True) if j == k) for k in (False, True)}
-            for joint, _, _, h, _, n in _positions(words, weight, depth):
-                if len(h):
-                    pick, total = _summed(h, n)
-                    yield pa.RecordBatch.from_arrays([pa.array(h[pick[total >= floor * here[joint] / max(joined if joint else symbols, 1)]].view(np.int64))], ["ctx"])
-
-    found = trained.select("word", "c").mapInArrow(name, "ctx long").distinct().toArrow()
-    names = spark.sparkContext.broadcast(np.sort(found.column(0).to_numpy().view(np.uint64)) if found.num_rows else np.zeros(0, np.uint64))
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = Keys(names.value)
-        for words, weight in blocks(batches):
-            for _, d, sym, h, parent, n in _positions(words, weight, depth):
-                keep = table.find(h)[1]
-                sym, h, parent, n = sym[keep], h[keep], parent[keep], n[keep]
-                if len(h):
-                    pick, total = _summed(mix(h * np.uint64(31) + sym.astype(np.uint64)), n)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(pick), d, np.int8)), pa.array(h[pick].view(np.int64)), pa.array(parent[pick].view(np.int64)), pa.array(sym[pick].astype(np.int32)), pa.array(total)], ["level", "ctx", "parent", "sym", "n"])
-
-    rows = trained.select("word", "c").mapInArrow(count, "level byte, ctx long, parent long, sym int, n long")
-    got = rows.groupBy("level", "ctx", "parent", "sym").agg(F.sum("n").alias("n")).toArrow()
-    col = lambda k: got.column(k).to_numpy()
-    ctx, n = col("ctx").view(np.uint64), col("n")
-    ids, inv = np.unique(ctx, return_inverse=True)
-    keep = np.bincount(inv, n, len(ids))[inv] >= floor
-    return Tree({"level": col("level")[keep], "ctx": ctx[keep], "parent": col("parent").view(np.uint64)[keep], "sym": col("sym").astype(np.int64)[keep], "n": n[keep]}, depth, gain)
-
-
-def lm_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", held_out: int = 10, depth: int = 8, share: int = 100_000, gain: float = 0.7, most_words: int = 400_000, most_joints: int = 300_000) -> DataFrame:
+            held.append([b.column(i).to_numpy() for i in range(7)])
+            size += b.num_rows
+            if size >= SYMBOLS:
+                cols = [np.concatenate(x) for x in zip(*held, strict=True)]
+                # Rows come in order of h12: the last group may go on.
+                cut = int(np.searchsorted(cols[1], cols[1][-1]))
+                if cut:
+                    yield out([x[:cut] for x in cols])
+                held, size = [[x[cut:] for x in cols]], len(cols[0]) - cut
+        if size:
+            yield out([np.concatenate(x) for x in zip(*held, strict=True)])
+
+    near = written(short_prices(keys, least, gain), "short")
+    rows = keys.mapInArrow(spread, "h long, h1 int, h12 long, e1 long, e2 long, sym int, n long").join(maybe_broadcast(near, near.count()), ["h1", "sym"])
+    dealt = rows.select("h", "h12", "e1", "e2", "sym", "n", "p1").repartition("h12").sortWithinPartitions("h12")
+    return dealt.mapInArrow(price, "h long, ls double").groupBy("h").agg(F.sum("ls").alias("ls"))
+
+
+def find(hashes: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Index of each wanted hash among the sorted ones, -1 where it is none of them."""
+    if not len(hashes):
+        return np.full(len(wanted), -1)
+    at = np.minimum(np.searchsorted(hashes, wanted), len(hashes) - 1)
+    return np.where(hashes[at] == wanted, at, -1)
+
+
+def key_hash(key: bytes) -> int:
+    """What Spark's xxhash64 gives for a binary."""
+    return xxhash.xxh64_intdigest(key, 42)
+
+
+def lm_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", held_out: int = 10, depth: int = 8, least: int = 10, gain: float = 0.7, share: int = 1_000_000) -> DataFrame:
     """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    counts = written(word_counts(docs, held_out), "words")
-    words = counts.where(f"not {JOINT}")
-    ends, total, distinct, everything = words.agg(F.max(F.when(F.length("word") == 0, F.struct("c", "a"))), F.sum("c"), F.count(F.when(F.col("c") > 0, 1)), F.sum("a")).first()
+    counts = written(word_counts(docs, held_out), "words").withColumn("h", F.xxhash64("word")).withColumn("joint", F.expr(JOINT))
+    ends, total, distinct, everything = counts.where("not joint").agg(F.max(F.when(F.length("word") == 0, F.struct("c", "a"))), F.sum("c"), F.count(F.when(F.col("c") > 0, 1)), F.sum("a")).first()
     total, distinct, everything = total or 0, distinct or 0, everything or 0
     texts = ends["c"] if ends else 0
     base = math.log10(total + 0.1 * (distinct + 1))
     # A text is words and an end: the end's share among training tokens is its probability, the others' go to words.
     end = math.log10((texts + 0.5) / (total + 1))
     go = math.log10((total - texts + 0.5) / (total + 1))
-    tree_here = build_tree(counts, depth, share, gain)
-    tree = spark.sparkContext.broadcast(tree_here)
-    release(spark)
     end_base = math.log10(texts + 0.1) - base
 
-    def priced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            c = b.column(1).to_numpy()
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(c > 0), b.column(2), pa.array(np.log10(c + 0.1) - base), pa.array(tree.value.words_log10(b.column(0).to_pylist()) + go)], ["word", "known", "a", "lb", "ls"])
-
-    prices = written(words.where(F.length("word") > 0).mapInArrow(priced, "word binary, known boolean, a long, lb double, ls double"), "prices")
-    least = max(1, everything // most_words)
-    top = prices.where(F.col("a") >= least).orderBy(F.desc("a"), "word").limit(most_words).toArrow()
-    index = {w: i for i, w in enumerate(top.column("word").to_pylist())}
-    heavy = spark.sparkContext.broadcast((index, np.array([top.column(k).to_numpy().astype(np.float64) for k in ("known", "lb", "ls")])))
-    common = counts.where(JOINT).where("c > 0").orderBy(F.desc("c"), "word").limit(most_joints).select("word").toArrow().column(0).to_pylist()
-    joints = spark.sparkContext.broadcast(dict(zip(common, tree_here.joints_log10(common).tolist(), strict=True)))
+    keys = counts.where(F.length("word") > 0)
+    found = key_prices(keys.select("h", "word", "c"), depth, least, gain)
+    own = keys.select("h", "a", (~F.col("joint") & (F.col("c") > 0)).alias("known"), F.when(F.col("joint"), 0.0).otherwise(F.log10(F.col("c") + F.lit(0.1)) - base).alias("lb"), F.when(F.col("joint"), 0.0).otherwise(go).alias("go"))
+    prices = written(own.join(found, "h", "left").select("h", "a", "known", "lb", (F.col("go") + F.coalesce("ls", F.lit(0.0))).alias("ls")), "prices")
+    floor = max(1, everything // share)
+    often = prices.where(F.col("a") >= floor).select("h", "known", "lb", "ls").toArrow()
+    order = np.argsort(often.column("h").to_numpy())
+    heavy = spark.sparkContext.broadcast([often.column("h").to_numpy()[order], *(often.column(k).to_numpy().astype(np.float64)[order] for k in ("known", "lb", "ls"))])
     release(spark)
-    held = ["rid", "word", "k", "n_tokens", "n_known", "base_score", "score"]
+    names = ["rid", "doc_id", "h", "k", "n_tokens", "n_known", "base_score", "score"]
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, price = heavy.value
-        often_joint = joints.value
+        hashes, *by_price = heavy.value
         for b in batches:
-            texts_here = b.column(1)
+            texts_here = b.column(2)
             rids = b.column(0).to_numpy()
             for lo, hi in in_parts(texts_here):
                 t = Texts(texts_here[lo:hi])
                 rid = rids[lo:hi]
                 m = len(rid)
-                rank = np.fromiter((index.get(w, -1) for w in t.words), np.int64, len(t.words))[t.codes] if t.words else np.zeros(0, np.int64)
-                often = rank >= 0
-                known, lb, ls = (np.bincount(t.text[often], row[rank[often]], m) for row in price)
-                pairs, inv = np.unique(t.pairs, return_inverse=True)
-                if len(pairs):
-                    names = [t.joint(k) for k in pairs.tolist()]
-                    gain = np.array([often_joint.get(x, np.nan) for x in names])
-                    rare = np.flatnonzero(np.isnan(gain))
-                    gain[rare] = tree.value.joints_log10([names[i] for i in rare])
-                    ls += np.bincount(t.pair_text, gain[inv], m)
-                # The text's own row: its word has a space, so no word equals it, and it spreads over the join's tasks.
-                yield pa.RecordBatch.from_arrays([pa.array(rid), pa.array([b" %d" % r for r in rid], pa.binary()), pa.array(np.zeros(m, np.int32)), pa.array(t.sizes + 1), pa.array((known + (texts > 0)).astype(np.int64)), pa.array(lb + end_base), pa.array(ls + end)], held)
-                rare, n = np.unique(t.text[~often] << 32 | t.codes[~often], return_counts=True)
-                if len(rare):
-                    zero, none = pa.array(np.zeros(len(rare), np.int64)), pa.array(np.zeros(len(rare)))
-                    names = pa.array(t.words, pa.binary()).take(pa.array(rare & 0xFFFFFFFF))
-                    yield pa.RecordBatch.from_arrays([pa.array(rid[rare >> 32]), names, pa.array(n.astype(np.int32)), zero, zero, none, none], held)
-
-    rows = docs.withColumn("rid", F.monotonically_increasing_id())
-    named = rows.select("rid", "doc_id")
-    parts = rows.select("rid", "text").mapInArrow(counted, "rid long, word binary, k int, n_tokens long, n_known long, base_score double, score double")
-    light = prices.where(F.col("a") < least).select("word", "known", "lb", "ls")
-    joined = parts.join(light, "word", "left").select("rid", F.col("n_tokens").cast("long"), (F.col("n_known") + F.when(F.col("known"), F.col("k")).otherwise(0)).cast("long").alias("n_known"), (F.col("base_score") + F.coalesce(F.col("k") * F.col("lb"), F.lit(0.0))).alias("base_score"), (F.col("score") + F.coalesce(F.col("k") * F.col("ls"), F.lit(0.0))).alias("score"))
-    summed = joined.groupBy("rid").agg(*[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")])
-    out = named.join(summed, "rid")
+                sums = np.zeros((3, m))
+                pairs, pair_of = np.unique(t.pairs, return_inverse=True)
+                for keys, code in ((t.words, t.codes), ([t.joint(k) for k in pairs.tolist()], pair_of)):
+                    h = np.fromiter(map(key_hash, keys), np.uint64, len(keys)).view(np.int64)
+                    at = find(hashes, h)
+                    here = at[code] >= 0
+                    for i, price in enumerate(by_price):
+                        sums[i] += np.bincount(t.text[here], price[at[code[here]]] if here.any() else None, m)
+                    rare, n = np.unique(t.text[~here] << 32 | code[~here], return_counts=True)
+                    if len(rare):
+                        none, zero = pa.array(np.zeros(len(rare))), pa.array(np.zeros(len(rare), np.int64))
+                        yield pa.RecordBatch.from_arrays([pa.array(rid[rare >> 32]), pa.nulls(len(rare), pa.int64()), pa.array(h[rare & 0xFFFFFFFF]), pa.array(n.astype(np.int32)), zero, zero, none, none], names)
+                known, lb, ls = sums
+                # The text's own row: k is 0, so that no price counts, and its hash spreads over the join's tasks.
+                yield pa.RecordBatch.from_arrays([pa.array(rid), b.column(1)[lo:hi], pa.array(mix(rid.astype(np.uint64)).view(np.int64)), pa.array(np.zeros(m, np.int32)), pa.array(t.sizes + 1), pa.array((known + (texts > 0)).astype(np.int64)), pa.array(lb + end_base), pa.array(ls + end)], names)
+
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text")
+    parts = rows.mapInArrow(counted, "rid long, doc_id long, h long, k int, n_tokens long, n_known long, base_score double, score double")
+    light = prices.where(F.col("a") < floor).select("h", "known", "lb", "ls")
+    joined = parts.join(light, "h", "left").select("rid", "doc_id", "n_tokens", (F.col("n_known") + F.when(F.col("known"), F.col("k")).otherwise(0)).alias("n_known"), (F.col("base_score") + F.coalesce(F.col("k") * F.col("lb"), F.lit(0.0))).alias("base_score"), (F.col("score") + F.coalesce(F.col("k") * F.col("ls"), F.lit(0.0))).alias("score"))
+    out = joined.groupBy("rid").agg(F.max("doc_id").alias("doc_id"), *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")])
     return out.select("doc_id", fold(F.col("doc_id"), held_out).alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
 
 
