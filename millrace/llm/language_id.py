@@ -1,19 +1,22 @@
 """Language spans of mixed text: scripts narrow the candidates, words are scored, and Viterbi's algorithm labels them.
 
-A word's score under a language is the log-likelihood of its character n-grams (1 to 4, with word boundaries, in hashed
-tables with smoothing). A language is a candidate for a word if at least `script_share` of its training letters are of the
-word's script; where no language is, all are. Over a text's words the best path pays `switch` for each change of language;
+Letters are the code points of Unicode's categories L*. A word's score under a language is the log-likelihood of its
+character n-grams (1 to 4, with word boundaries, in hashed tables with smoothing). A language is a candidate for a word if at
+least `script_share` of its training letters are of the word's script; where no language is, all are. Over a text's words the best path pays `switch` for each change of language;
 equal neighbours on it make spans. The language with most letters on the path is predicted.
 
-Training takes a bounded sample: about `per_lang` texts of each language outside the held-out fold, chosen by hash from the
-whole texts of up to `train_chars` characters; all texts are predicted, whole.
+Training takes a bounded sample: about `per_lang` distinct texts of each language outside the held-out fold, chosen by hash
+among whole texts of up to `train_chars` characters; every language is learned, however rare. Workers count the sample's
+n-grams, and the counts, at most 2^18 a language, make the tables (1 MB a language). All texts are predicted, whole.
 
 Defined cases: null texts and texts without a letter are `und` with score 0. Without training rows every text is `und`.
+A training text whose words have no letter teaches n-grams alone.
 Ties go to the language that sorts first. Repeated rows get equal answers; null ids count as training rows.
 """
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,23 +25,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import fold, mix
+from millrace.llm.common import discard, fold, maybe_broadcast, mix, written
 
 # First code point of each range and its script.
 SCRIPTS = [(0x0, "Common"), (0x41, "Latin"), (0x5B, "Common"), (0x61, "Latin"), (0x7B, "Common"), (0xC0, "Latin"), (0x250, "Latin"), (0x2B0, "Common"), (0x370, "Greek"), (0x400, "Cyrillic"), (0x530, "Armenian"), (0x590, "Hebrew"), (0x600, "Arabic"), (0x700, "Syriac"), (0x780, "Thaana"), (0x900, "Devanagari"), (0x980, "Bengali"), (0xA00, "Gurmukhi"), (0xA80, "Gujarati"), (0xB00, "Oriya"), (0xB80, "Tamil"), (0xC00, "Telugu"), (0xC80, "Kannada"), (0xD00, "Malayalam"), (0xD80, "Sinhala"), (0xE00, "Thai"), (0xE80, "Lao"), (0xF00, "Tibetan"), (0x1000, "Myanmar"), (0x10A0, "Georgian"), (0x1100, "Hangul"), (0x1200, "Ethiopic"), (0x1400, "Common"), (0x1780, "Khmer"), (0x1800, "Mongolian"), (0x18B0, "Common"), (0x1E00, "Latin"), (0x1F00, "Greek"), (0x2000, "Common"), (0x3040, "Kana"), (0x3100, "Common"), (0x3130, "Hangul"), (0x3190, "Common"), (0x3400, "Han"), (0xA000, "Common"), (0xAC00, "Hangul"), (0xD7B0, "Common"), (0xF900, "Han"), (0xFB00, "Common"), (0x20000, "Han"), (0x30000, "Common")]
 STARTS = np.array([s for s, _ in SCRIPTS])
-NAMES = sorted({n for _, n in SCRIPTS})
+NAMES = sorted({"Other", *(n for _, n in SCRIPTS)})
 SCRIPT = np.array([NAMES.index(n) for _, n in SCRIPTS], np.int8)
-COMMON = NAMES.index("Common")
+COMMON, OTHER = NAMES.index("Common"), NAMES.index("Other")
 BITS = 16
 ORDERS = 4
 
 
-def script_table(limit: int = 0x10000) -> np.ndarray:
-    return SCRIPT[np.searchsorted(STARTS, np.arange(limit), side="right") - 1]
-
-
-TABLE = script_table()
+def script_table() -> np.ndarray:
+    """Script of every code point: Common if it is no letter, Other if it is one outside the ranges' scripts."""
+    points = range(0x110000)
+    letter = np.fromiter((unicodedata.category(chr(c))[0] == "L" for c in points), bool, len(points))
+    script = SCRIPT[np.searchsorted(STARTS, np.arange(len(points)), side="right") - 1]
+    return np.where(letter, np.where(script == COMMON, OTHER, script), COMMON).astype(np.int8)
 
 
 def chars_of(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -49,10 +53,6 @@ def chars_of(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return codes, np.concatenate([[0], np.cumsum(sizes + 1)])[:-1]
 
 
-def scripts_of(codes: np.ndarray) -> np.ndarray:
-    return np.where(codes < len(TABLE), TABLE[np.minimum(codes, len(TABLE) - 1)], SCRIPT[np.searchsorted(STARTS, codes, side="right") - 1])
-
-
 def gram_buckets(codes: np.ndarray, starts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each order: bucket of the n-gram that begins at each code point, and whether it lies within one word's spaces."""
     word = np.zeros(len(codes), np.int64)
@@ -71,13 +71,13 @@ def gram_buckets(codes: np.ndarray, starts: np.ndarray) -> Iterator[tuple[np.nda
         yield (mix(h + np.uint64(n)) >> np.uint64(64 - BITS)).astype(np.int64), inner
 
 
-def word_scores(words: list[str], tables: np.ndarray, allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_scores(words: list[str], tables: np.ndarray, allowed: np.ndarray, scripts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Scores [word, language], 0 for words without letters, and each word's number of letters."""
     k = tables.shape[2]
     if not words:
         return np.zeros((0, k), np.float32), np.zeros(0, np.int64)
     codes, starts = chars_of(words)
-    kinds = scripts_of(codes)
+    kinds = scripts[codes]
     letter = kinds != COMMON
     letters = np.add.reduceat(letter, starts).astype(np.int64)
     score = np.zeros((len(words), k), np.float32)
@@ -127,42 +127,62 @@ def viterbi(score: np.ndarray, sizes: np.ndarray, switch: float) -> np.ndarray:
     return path
 
 
-def fit(texts: dict[str, list[str]]) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Languages in order, log-probability tables [order, bucket, language] and candidates [script, language]."""
-    langs = sorted(texts)
-    counts = np.zeros((ORDERS, 1 << BITS, len(langs)), np.float64)
+def gram_counts(sample: DataFrame) -> DataFrame:
+    """Rows (lang, kind, bucket, n) of texts (lang, text): kind 0 to 3 counts n-grams of that order, kind 4 letters by script."""
+    scripts = script_table()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts: dict[str, list[str]] = {}
+            for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                texts.setdefault(lang, []).append(text)
+            for lang, own in texts.items():
+                found = [np.zeros(1 << BITS, np.int64) for _ in range(ORDERS)] + [np.zeros(len(NAMES), np.int64)]
+                for text in own:
+                    if words := text.lower().split():
+                        codes, starts = chars_of(words)
+                        found[ORDERS] += np.bincount(scripts[codes], minlength=len(NAMES))
+                        for n, (bucket, inner) in enumerate(gram_buckets(codes, starts)):
+                            found[n] += np.bincount(bucket[inner], minlength=1 << BITS)
+                for kind, counts in enumerate(found):
+                    at = np.flatnonzero(counts)
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(np.full(len(at), kind, np.int32)), pa.array(at.astype(np.int32)), pa.array(counts[at])], ["lang", "kind", "bucket", "n"])
+
+    return sample.select("lang", "text").mapInArrow(run, "lang string, kind int, bucket int, n long").groupBy("lang", "kind", "bucket").agg(F.sum("n").alias("n"))
+
+
+def fit(rows: pa.Table) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """From gram_counts: languages in order, log-probability tables [order, bucket, language], shares [script, language]."""
+    langs = sorted(set(rows.column("lang").to_pylist()))
+    number = {lang: j for j, lang in enumerate(langs)}
+    j = np.array([number[x] for x in rows.column("lang").to_pylist()], np.int64)
+    kind, bucket, n = (rows.column(k).to_numpy() for k in ("kind", "bucket", "n"))
+    tables = np.zeros((ORDERS, 1 << BITS, len(langs)), np.float32)
+    for order in range(ORDERS):
+        m = kind == order
+        tables[order, bucket[m], j[m]] = n[m]
+    total = tables.sum(1, keepdims=True, dtype=np.float64)
+    used = (tables.any(2)).sum(1)[:, None, None] + 1
+    for order in range(ORDERS):  # one order at a time, to hold little more than the tables themselves
+        tables[order] = np.log((tables[order] + 0.5) / (total[order] + 0.5 * used[order]))
     letters = np.zeros((len(NAMES), len(langs)))
-    for j, lang in enumerate(langs):
-        for text in texts[lang]:
-            words = text.lower().split()
-            if not words:
-                continue
-            codes, starts = chars_of(words)
-            letters[:, j] += np.bincount(scripts_of(codes), minlength=len(NAMES))
-            for n, (bucket, inner) in enumerate(gram_buckets(codes, starts)):
-                counts[n, :, j] += np.bincount(bucket[inner], minlength=1 << BITS)
-    total = counts.sum(1, keepdims=True)
-    used = (counts.sum(2) > 0).sum(1)[:, None, None] + 1
-    tables = np.log((counts + 0.5) / (total + 0.5 * used)).astype(np.float32)
-    letters[COMMON] = 0
-    share = letters / np.maximum(letters.sum(0), 1)
-    return langs, tables, share
+    m = (kind == ORDERS) & (bucket != COMMON)
+    letters[bucket[m], j[m]] = n[m]
+    return langs, tables, letters / np.maximum(letters.sum(0), 1)
 
 
 def language_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 400, train_chars: int = 20_000, script_share: float = 0.01, switch: float = 6.0, words_at_once: int = 600_000) -> DataFrame:
     """doc_id, held_out, lang_pred, score (share of the letters that the path gives to lang_pred) and spans (lang, first word, words)."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     known = docs.where("text is not null and lang is not null").where(~fold(F.col("doc_id"), 5)).where(F.length("text").between(1, train_chars))
-    many = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(200).collect()}
-    order = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    each = max(1, min(per_lang, 20_000 // max(len(many), 1)))
-    limit = F.create_map(*[F.lit(x) for lang, n in many.items() for x in (lang, 2.0 * each / n)]) if many else F.lit(None).cast("map<string,double>")
-    texts: dict[str, list[str]] = {}
-    for r in known.where(order < limit[F.col("lang")]).orderBy(order, "doc_id", "text").limit(2 * each * max(len(many), 1)).select("lang", "text").collect():
-        if len(found := texts.setdefault(r["lang"], [])) < each:
-            found.append(r["text"])
-    langs, tables, share = fit(texts) if texts else ([], np.zeros((ORDERS, 1 << BITS, 0), np.float32), np.zeros((len(NAMES), 0)))
-    sent = docs.sparkSession.sparkContext.broadcast(tables)
+    many = written(known.groupBy("lang").agg(F.count(F.lit(1)).alias("many")), "languages")
+    place = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / float(1 << 30)
+    # Repeated texts hash alike and are learned once, so no crowd of copies outgrows the sample.
+    sample = known.join(maybe_broadcast(many, many.count()), "lang").where(place * F.col("many") < per_lang).select("lang", "text").distinct()
+    found = written(gram_counts(sample), "grams")
+    langs, tables, share = fit(found.toArrow())
+    discard(found)
+    sent = docs.sparkSession.sparkContext.broadcast((tables, script_table()))
     allowed = share >= script_share
 
     def labelled(texts: list[str | None]) -> tuple[list, list, list]:
@@ -172,7 +192,7 @@ def language_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
             words += w
             sizes.append(len(w))
         codes, unique = pd.factorize(np.array(words, dtype=object)) if words else (np.zeros(0, int), np.zeros(0, object))
-        score, letters = word_scores(list(unique), sent.value, allowed)
+        score, letters = word_scores(list(unique), sent.value[0], allowed, sent.value[1])
         letters = letters[codes]
         sizes = np.array(sizes)
         path = viterbi(score[codes], sizes, switch)
