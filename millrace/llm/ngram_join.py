@@ -9,9 +9,9 @@
    shingles, which bounds the overlap from above; a pair whose bound is below the threshold cannot link and goes no further.
 4. The global order is cut into fragments: equal ranges of the ordinary shingles, and the frequent ones as the last. Each set
    lies in one row a fragment; the overlap of a pair is counted in every fragment apart and summed per pair.
-5. Links make components. While buckets hold many more pairs than rows, each member is compared with a pivot (then 4, 16 ...)
-   of its bucket; members that are then known to be connected need no comparison. All pairs that remain across components
-   are compared, so no link is lost.
+5. Links make components. Each member of a bucket is first compared with one pivot (then with 4, 16 ... while buckets hold many
+   more pairs than rows); members that are then known to be connected need no comparison. All pairs that remain across
+   components are compared, so no link is lost.
 
 A group of n near copies so costs about n comparisons, not n squared. Equal sets never meet in pairs at all.
 """
@@ -313,7 +313,7 @@ def _linked(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
         left = (per.agg(F.sum((F.col("all") * F.col("all") - F.col("same")) / 2)).first()[0] or 0) if size else 0
         if not left:
             break
-        whole = turn == rounds or left <= 8 * size or (last is not None and left > 0.7 * last)
+        whole = turn == rounds or (last is not None and (left <= 8 * size or left > 0.7 * last))
         last = left
         xs = lambda t, *more: t.select("token", F.col("sig").alias("a"), F.col("n").alias("xn"), F.col("pos").alias("xp"), F.col("label").alias("xl"), *more)
         ys = lambda t, *more: t.select("token", F.col("sig").alias("b"), F.col("n").alias("yn"), F.col("pos").alias("yp"), F.col("label").alias("yl"), *more)
