@@ -12,9 +12,10 @@ distribution is smoothed towards theirs with weight T / (n + T), T the distinct
 root's towards all code points evenly. Each symbol is scored in its longest retained context.
 
 The tree is never in one place, and it grows with the corpus: no bound but `least` limits it. The symbols of all keys, those
-of held-out texts with count 0, are dealt by the last two symbols of their histories, so that all contexts of two symbols and
-more that a symbol needs lie in one task with it; distributions of the root and of single symbols are joined to them before.
-A task sorts its histories, in which every context is a stretch, and prices each symbol. Prices are summed per key.
+of held-out texts with count 0, are dealt by the last three symbols of their histories, so that all contexts of three symbols
+and more that a symbol needs lie in one task with it; the probabilities from contexts of none, one and two symbols are joined
+to them before. A task sorts its histories, in which every context is a stretch, and prices each symbol. Prices are summed
+per key.
 
 Keys that hold at least 1 / `share` of all words or joints are at most `share` each; their hashes and prices, 25 bytes each,
 are broadcast. All others are joined by hash, after each text has counted its own. Keys are named by 64-bit hashes.
@@ -28,18 +29,16 @@ rows. Empty tables give no rows. Other columns are ignored.
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import discard, fold, maybe_broadcast, mix, release, written
+from millrace.llm.common import fold, maybe_broadcast, mix, release, sorted_distinct, written
 
 START, END = 0x110000, 0x110001
 CODE_POINTS = 0x110002
@@ -47,8 +46,6 @@ CODE_POINTS = 0x110002
 REACH = 3
 #: The longest history that three 63-bit numbers hold, and the bits of a symbol.
 LONGEST, WIDTH = 8, 21
-#: Distinct keys that a Python worker holds before it passes their counts on.
-HELD_WORDS = 800_000
 #: Characters of words that are worked on at once, words of texts, and symbols that are priced at once.
 BLOCK, WORDS, SYMBOLS = 1_000_000, 800_000, 500_000
 
@@ -97,7 +94,7 @@ def symbols_of(keys: list[bytes], depth: int) -> Iterator[tuple[np.ndarray, np.n
 
 
 class Texts:
-    """The words of some texts: number of each distinct word and joint in each text."""
+    """The words of some texts and the joints between them, by number, with a hash for each."""
 
     def __init__(self, texts: pa.Array) -> None:
         lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null("")))
@@ -107,23 +104,30 @@ class Texts:
         if not pc.all(full, min_count=0).as_py():
             flat, text = flat.filter(full), text[full.to_numpy(zero_copy_only=False)]
         self.sizes = np.bincount(text, minlength=len(texts))
-        coded = flat.dictionary_encode()
-        self.words = coded.dictionary.cast(pa.binary()).to_pylist()
         self.text = text
+        coded = flat.dictionary_encode()
+        self.words = coded.dictionary
         codes = self.codes = coded.indices.to_numpy().astype(np.int64)
-        plain = [w.decode("utf-8", "surrogatepass") for w in self.words]
-        tails, own_tails = pd.factorize(np.array([w[-REACH:] for w in plain], object)) if plain else (codes, [])
-        heads, own_heads = pd.factorize(np.array([(w + "\n")[:REACH] for w in plain], object)) if plain else (codes, [])
+        self.hashes = key_hashes(self.words)
+        tails = pc.utf8_slice_codeunits(self.words, -REACH).dictionary_encode()
+        heads = pc.utf8_slice_codeunits(pc.binary_join_element_wise(self.words, "\n", ""), 0, REACH).dictionary_encode()
         # The last tail is that of no word.
-        self.tails = [t.encode("utf-8", "surrogatepass") + b" " for t in [*own_tails, ""]]
-        self.heads = [t.encode("utf-8", "surrogatepass") for t in own_heads]
-        before = np.full(len(codes), len(own_tails), np.int64)
+        self.tails, self.heads = pa.concat_arrays([tails.dictionary, pa.array([""], tails.dictionary.type)]), heads.dictionary
+        before = np.full(len(codes), len(self.tails) - 1, np.int64)
         inner = np.flatnonzero(text[1:] == text[:-1])
-        before[inner + 1] = tails[codes[inner]]
-        self.pairs = before << 32 | heads[codes] if plain else codes
+        before[inner + 1] = tails.indices.to_numpy()[codes[inner]]
+        self.pairs = before << 32 | heads.indices.to_numpy()[codes]
+
+    def joints(self, pairs: np.ndarray) -> pa.Array:
+        return pc.binary_join_element_wise(self.tails.take(pa.array(pairs >> 32)), self.heads.take(pa.array(pairs & 0xFFFFFFFF)), " ")
+
+    def joint_hashes(self, pairs: np.ndarray) -> np.ndarray:
+        tails, heads = key_hashes(self.tails).view(np.uint64), key_hashes(self.heads).view(np.uint64)
+        return mix(tails[pairs >> 32] * np.uint64(0x9E3779B97F4A7C15) + heads[pairs & 0xFFFFFFFF]).view(np.int64)
 
-    def joint(self, pair: int) -> bytes:
-        return self.tails[pair >> 32] + self.heads[pair & 0xFFFFFFFF]
+
+def key_hashes(keys: pa.Array) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, keys.cast(pa.binary()).to_numpy(zero_copy_only=False)), np.uint64, len(keys)).view(np.int64)
 
 
 def in_parts(texts: pa.Array) -> Iterator[tuple[int, int]]:
@@ -134,41 +138,29 @@ def in_parts(texts: pa.Array) -> Iterator[tuple[int, int]]:
 
 
 def word_counts(docs: DataFrame, held_out: int) -> DataFrame:
-    """word, c (occurrences in training rows) and a (in all rows). The word '' stands for the texts' ends; a word with a space
-    is a joint."""
+    """h (hash), word, c (occurrences in training rows) and a (in all rows). The word '' stands for the texts' ends; a word with
+    a space is a joint."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        train: Counter[bytes] = Counter()
-        rest: Counter[bytes] = Counter()
-
-        def out() -> Iterator[pa.RecordBatch]:
-            for held, trained in ((train, True), (rest, False)):
-                if held:
-                    n = pa.array(list(held.values()), pa.int64())
-                    yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), n if trained else pa.array(np.zeros(len(held), np.int64)), n], ["word", "c", "a"])
-                    held.clear()
+        def out(h: np.ndarray, words: pa.Array, n: np.ndarray, trained: bool) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(h), words.cast(pa.binary()), pa.array(n if trained else np.zeros(len(n), np.int64)), pa.array(n)], ["h", "word", "c", "a"])
 
         for b in batches:
             texts = b.column(1)
             outs = np.array(b.column(0).to_pylist(), bool)
             for lo, hi in in_parts(texts):
                 t = Texts(texts[lo:hi])
-                aside = outs[lo:hi]
-                for held, mine in ((train, ~aside), (rest, aside)):
+                for trained, mine in ((True, ~outs[lo:hi]), (False, outs[lo:hi])):
                     here = mine[t.text]
                     n = np.bincount(t.codes[here], minlength=len(t.words))
-                    for k in np.flatnonzero(n):
-                        held[t.words[k]] += int(n[k])
-                    pairs, n = np.unique(t.pairs[here], return_counts=True)
-                    for k, m in zip(pairs.tolist(), n.tolist(), strict=True):
-                        held[t.joint(k)] += m
-                    held[b""] += int(mine.sum())
-                if len(train) + len(rest) > HELD_WORDS:
-                    yield from out()
-        yield from out()
+                    some = np.flatnonzero(n)
+                    yield out(t.hashes[some], t.words.take(pa.array(some)), n[some], trained)
+                    pairs, n = sorted_distinct(t.pairs[here])
+                    yield out(t.joint_hashes(pairs), t.joints(pairs), n, trained)
+                    yield out(np.zeros(1, np.int64), pa.array([""]), np.array([mine.sum()], np.int64), trained)
 
-    rows = docs.select(fold(F.col("doc_id"), held_out).alias("h"), "text").mapInArrow(run, "word binary, c long, a long")
-    return rows.groupBy("word").agg(F.sum("c").alias("c"), F.sum("a").alias("a"))
+    rows = docs.select(fold(F.col("doc_id"), held_out).alias("h"), "text").mapInArrow(run, "h long, word binary, c long, a long")
+    return rows.groupBy("h", "word").agg(F.sum("c").alias("c"), F.sum("a").alias("a"))
 
 
 JOINT = "locate(' ', cast(word as string)) > 0"
@@ -186,45 +178,53 @@ def _key_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray,
 
 
 def short_prices(keys: DataFrame, least: int, gain: float) -> DataFrame:
-    """Rows (h1, sym, p1): the probability of each symbol behind each single symbol, from contexts of one symbol and none."""
+    """Rows (h12, sym, p2): the probability of each symbol behind each two symbols, from contexts of two, one and none."""
 
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, words, n in _key_blocks(batches):
-            for own, sym, back in symbols_of(words, 1):
-                pair, inv = np.unique(back[0] << WIDTH | sym, return_inverse=True)
-                total = np.bincount(inv, n[own], len(pair)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array((pair >> WIDTH).astype(np.int32)), pa.array((pair & ((1 << WIDTH) - 1)).astype(np.int32)), pa.array(total)], ["h1", "sym", "n"])
+            for own, sym, back in symbols_of(words, 2):
+                key = back[0] << 2 * WIDTH | back[1] << WIDTH | sym
+                order = np.argsort(key)
+                key, n_key = key[order], n[own][order]
+                first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+                total = np.add.reduceat(n_key, first) if len(key) else n_key
+                yield pa.RecordBatch.from_arrays([pa.array(key[first] >> WIDTH), pa.array((key[first] & ((1 << WIDTH) - 1)).astype(np.int32)), pa.array(total)], ["h12", "sym", "n"])
 
-    edges = written(keys.mapInArrow(pairs, "h1 int, sym int, n long").groupBy("h1", "sym").agg(F.sum("n").alias("n")), "pairs")
+    some = F.col("n") > 0
+
+    def smoothed(edges: DataFrame, state: str, p: str, q: str, allowed=F.lit(True)) -> DataFrame:
+        """edges (state, sym, n, p) with q, from the states that are retained; p: from shorter contexts."""
+        diverge = F.sum(F.when(some, F.col("n") * (F.ln(F.when(some, F.col("n"))) - F.ln(p)))) - F.sum("n") * F.ln(F.sum("n"))
+        states = edges.groupBy(state).agg(F.sum("n").alias("t"), F.count(F.when(some, 1)).alias("kinds"), diverge.alias("gained"))
+        stays = allowed & (F.col("t") >= least) & (F.col("gained") > gain * F.col("kinds"))
+        return edges.join(states, state).withColumn(q, F.when(stays, (F.col("n") + F.col("kinds") * F.col(p)) / (F.col("t") + F.col("kinds"))).otherwise(F.col(p)))
+
+    edges = written(keys.mapInArrow(triples, "h12 long, sym int, n long").groupBy("h12", "sym").agg(F.sum("n").alias("n")), "triples")
     root = edges.groupBy("sym").agg(F.sum("n").alias("n0"))
     total, kinds = root.agg(F.coalesce(F.sum("n0"), F.lit(0)), F.count(F.when(F.col("n0") > 0, 1))).first()
     # At most one row a code point.
     root = F.broadcast(root.select("sym", ((F.col("n0") + kinds / CODE_POINTS) / max(total + kinds, 1)).alias("p0") if kinds else F.lit(1 / CODE_POINTS).alias("p0")))
-    edges = edges.join(root, "sym")
-    some = F.col("n") > 0
-    diverge = F.sum(F.when(some, F.col("n") * (F.ln(F.when(some, F.col("n"))) - F.ln("p0")))) - F.sum("n") * F.ln(F.sum("n"))
-    states = edges.groupBy("h1").agg(F.sum("n").alias("t"), F.count(F.when(some, 1)).alias("kinds"), diverge.alias("gained"))
-    stays = (F.col("t") >= least) & (F.col("gained") > gain * F.col("kinds"))
-    return edges.join(F.broadcast(states), "h1").select("h1", "sym", F.when(stays, (F.col("n") + F.col("kinds") * F.col("p0")) / (F.col("t") + F.col("kinds"))).otherwise(F.col("p0")).alias("p1"))
+    h1 = F.shiftright("h12", WIDTH)
+    one = smoothed(edges.groupBy(h1.alias("h1"), "sym").agg(F.sum("n").alias("n")).join(root, "sym"), "h1", "p0", "p1").select("h1", "sym", "p1")
+    two = edges.withColumn("h1", h1).join(one, ["h1", "sym"])
+    return smoothed(two, "h12", "p1", "p2", F.col("h12").bitwiseAND(F.lit((1 << WIDTH) - 1)) > 0).select("h12", "sym", "p2")
 
 
-def price_symbols(h12: np.ndarray, e1: np.ndarray, e2: np.ndarray, sym: np.ndarray, n: np.ndarray, p: np.ndarray, depth: int, least: int, gain: float) -> np.ndarray:
-    """The probability of each symbol from its longest retained context; p: that from contexts of one symbol and none.
+def price_symbols(e0: np.ndarray, e1: np.ndarray, e2: np.ndarray, sym: np.ndarray, n: np.ndarray, p: np.ndarray, depth: int, least: int, gain: float) -> np.ndarray:
+    """The probability of each symbol from its longest retained context; p: that from contexts of two symbols at most.
 
-    The histories, packed nearest symbol first, must hold all of training that ends in their last two symbols.
+    The histories, packed nearest symbol first, must hold all of training that ends in their last three symbols.
     """
-    order = np.lexsort((e2, e1, h12))
-    h12, e1, e2, sym, n, p = (x[order] for x in (h12, e1, e2, sym, n.astype(np.float64), p.astype(np.float64)))
+    order = np.lexsort((e2, e1, e0))
+    e0, e1, e2, sym, n, p = (x[order] for x in (e0, e1, e2, sym, n.astype(np.float64), p.astype(np.float64)))
     mask = (1 << WIDTH) - 1
-    active = np.flatnonzero((h12 & mask) > 0)
-    new = np.ones(len(h12), bool)
+    active = np.flatnonzero((e0 & mask) > 0)
+    new = np.ones(len(e0), bool)
     if len(new):
-        new[1:] = h12[1:] != h12[:-1]
-    for d in range(2, depth + 1):
-        if d > 2:
-            word, at = (e1, d - 3) if d < 6 else (e2, d - 6)
-            shift = WIDTH * (2 - at)
-            own = word >> shift
+        new[1:] = e0[1:] != e0[:-1]
+    for d in range(3, depth + 1):
+        if d > 3:
+            own = (e1 if d < 7 else e2) >> WIDTH * (2 - (d - 4) % 3)
             new[1:] |= own[1:] != own[:-1]
             active = active[(own[active] & mask) > 0]
         if not len(active):
@@ -255,15 +255,15 @@ def price_symbols(h12: np.ndarray, e1: np.ndarray, e2: np.ndarray, sym: np.ndarr
 
 def key_prices(keys: DataFrame, depth: int, least: int, gain: float) -> DataFrame:
     """keys: h, word, c. Rows (h, ls): the sum of log10 of the probabilities of a key's scored symbols; none for a key without."""
-    if not 2 <= depth <= LONGEST:
-        raise ValueError(f"histories have 2 to {LONGEST} symbols")
+    if not 3 <= depth <= LONGEST:
+        raise ValueError(f"histories have 3 to {LONGEST} symbols")
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for h, words, n in _key_blocks(batches):
             for own, sym, back in symbols_of(words, depth):
-                back = np.concatenate([back, np.zeros((LONGEST - depth, back.shape[1]), np.int64)])
-                three = lambda i, b=back: pa.array(b[i] << 2 * WIDTH | b[i + 1] << WIDTH | b[i + 2])
-                yield pa.RecordBatch.from_arrays([pa.array(h[own]), pa.array(back[0].astype(np.int32)), pa.array(back[0] << WIDTH | back[1]), three(2), three(5), pa.array(sym.astype(np.int32)), pa.array(n[own])], ["h", "h1", "h12", "e1", "e2", "sym", "n"])
+                back = np.concatenate([back, np.zeros((9 - depth, back.shape[1]), np.int64)])
+                three = [pa.array(back[i] << 2 * WIDTH | back[i + 1] << WIDTH | back[i + 2]) for i in (0, 3, 6)]
+                yield pa.RecordBatch.from_arrays([pa.array(h[own]), *three, pa.array(sym.astype(np.int32)), pa.array(n[own])], ["h", "e0", "e1", "e2", "sym", "n"])
 
     def price(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
@@ -271,15 +271,17 @@ def key_prices(keys: DataFrame, depth: int, least: int, gain: float) -> DataFram
 
         def out(cols: list[np.ndarray]) -> pa.RecordBatch:
             p = price_symbols(*cols[1:], depth, least, gain)
-            own, inv = np.unique(cols[0], return_inverse=True)
-            return pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.bincount(inv, np.log10(p), len(own)))], ["h", "ls"])
+            order = np.argsort(cols[0])
+            h, ls = cols[0][order], np.log10(p[order])
+            first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+            return pa.RecordBatch.from_arrays([pa.array(h[first]), pa.array(np.add.reduceat(ls, first))], ["h", "ls"])
 
         for b in batches:
             held.append([b.column(i).to_numpy() for i in range(7)])
             size += b.num_rows
             if size >= SYMBOLS:
                 cols = [np.concatenate(x) for x in zip(*held, strict=True)]
-                # Rows come in order of h12: the last group may go on.
+                # Rows come in order of e0: the last group may go on.
                 cut = int(np.searchsorted(cols[1], cols[1][-1]))
                 if cut:
                     yield out([x[:cut] for x in cols])
@@ -288,9 +290,11 @@ def key_prices(keys: DataFrame, depth: int, least: int, gain: float) -> DataFram
             yield out([np.concatenate(x) for x in zip(*held, strict=True)])
 
     near = written(short_prices(keys, least, gain), "short")
-    rows = keys.mapInArrow(spread, "h long, h1 int, h12 long, e1 long, e2 long, sym int, n long").join(maybe_broadcast(near, near.count()), ["h1", "sym"])
-    dealt = rows.select("h", "h12", "e1", "e2", "sym", "n", "p1").repartition("h12").sortWithinPartitions("h12")
-    return dealt.mapInArrow(price, "h long, ls double").groupBy("h").agg(F.sum("ls").alias("ls"))
+    rows = keys.mapInArrow(spread, "h long, e0 long, e1 long, e2 long, sym int, n long").withColumn("h12", F.shiftright("e0", WIDTH))
+    rows = rows.join(maybe_broadcast(near, near.count()), ["h12", "sym"]).select("h", "e0", "e1", "e2", "sym", "n", "p2")
+    # Histories of fewer than three symbols have no longer context to wait for, so they go anywhere.
+    where = F.when(F.col("e0").bitwiseAND(F.lit((1 << WIDTH) - 1)) > 0, F.col("e0")).otherwise(F.col("h"))
+    return rows.repartition(where).sortWithinPartitions("e0").mapInArrow(price, "h long, ls double").groupBy("h").agg(F.sum("ls").alias("ls"))
 
 
 def find(hashes: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -301,16 +305,12 @@ def find(hashes: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return np.where(hashes[at] == wanted, at, -1)
 
 
-def key_hash(key: bytes) -> int:
-    """What Spark's xxhash64 gives for a binary."""
-    return xxhash.xxh64_intdigest(key, 42)
-
-
 def lm_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", held_out: int = 10, depth: int = 8, least: int = 10, gain: float = 0.7, share: int = 1_000_000) -> DataFrame:
     """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    counts = written(word_counts(docs, held_out), "words").withColumn("h", F.xxhash64("word")).withColumn("joint", F.expr(JOINT))
+    counts = written(word_counts(docs, held_out), "words").withColumn("joint", F.expr(JOINT))
+    release(spark)
     ends, total, distinct, everything = counts.where("not joint").agg(F.max(F.when(F.length("word") == 0, F.struct("c", "a"))), F.sum("c"), F.count(F.when(F.col("c") > 0, 1)), F.sum("a")).first()
     total, distinct, everything = total or 0, distinct or 0, everything or 0
     texts = ends["c"] if ends else 0
@@ -341,14 +341,13 @@ def lm_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
                 rid = rids[lo:hi]
                 m = len(rid)
                 sums = np.zeros((3, m))
-                pairs, pair_of = np.unique(t.pairs, return_inverse=True)
-                for keys, code in ((t.words, t.codes), ([t.joint(k) for k in pairs.tolist()], pair_of)):
-                    h = np.fromiter(map(key_hash, keys), np.uint64, len(keys)).view(np.int64)
+                pairs = sorted_distinct(t.pairs)[0]
+                for h, code in ((t.hashes, t.codes), (t.joint_hashes(pairs), np.searchsorted(pairs, t.pairs))):
                     at = find(hashes, h)
                     here = at[code] >= 0
                     for i, price in enumerate(by_price):
                         sums[i] += np.bincount(t.text[here], price[at[code[here]]] if here.any() else None, m)
-                    rare, n = np.unique(t.text[~here] << 32 | code[~here], return_counts=True)
+                    rare, n = sorted_distinct(t.text[~here] << 32 | code[~here])
                     if len(rare):
                         none, zero = pa.array(np.zeros(len(rare))), pa.array(np.zeros(len(rare), np.int64))
                         yield pa.RecordBatch.from_arrays([pa.array(rid[rare >> 32]), pa.nulls(len(rare), pa.int64()), pa.array(h[rare & 0xFFFFFFFF]), pa.array(n.astype(np.int32)), zero, zero, none, none], names)
