@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import SPACES, fold, text_key, windows_hash, word_hashes, words_of, written
+from millrace.llm.common import SPACES, fold, sorted_distinct, text_key, texts_word_hashes, windows_hash, word_hashes, words_of, written
 
 SYMBOLS = b"#*$%&|<>"
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -32,12 +32,12 @@ _WS = list(SPACES.encode())
 _SYM = list(SYMBOLS)
 
 
-def text_counts(text: str | None) -> tuple[int, ...]:
-    """COUNTS, then MORE, of a whole text."""
+def text_counts(text: str | None, hashes: np.ndarray | None = None) -> tuple[int, ...]:
+    """COUNTS, then MORE, of a whole text; hashes: those of its words, if they are known."""
     text = text or ""
     raw = text.encode("utf-8", "surrogatepass")
     hist = np.bincount(np.frombuffer(raw, np.uint8), minlength=256)
-    hashes = word_hashes(words_of(text, lower=False))
+    hashes = word_hashes(words_of(text, lower=False)) if hashes is None else hashes
     n = len(hashes)
     repeated = 0
     if n > 5:
@@ -46,9 +46,9 @@ def text_counts(text: str | None) -> tuple[int, ...]:
         same = w[order][1:] == w[order][:-1]
         if same.any():
             mark = np.zeros(n + 1, np.int32)
-            twice = np.unique(np.concatenate([order[1:][same], order[:-1][same]]))
-            np.add.at(mark, twice, 1)
-            np.add.at(mark, twice + 5, -1)
+            twice = sorted_distinct(np.concatenate([order[1:][same], order[:-1][same]]))[0]
+            mark[twice] += 1
+            mark[twice + 5] -= 1
             repeated = int((np.cumsum(mark) > 0).sum())
     lines = text.split("\n")
     full = [x for x in lines if x.strip(SPACES)]
@@ -61,7 +61,7 @@ def rule_statistics(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            counts = np.array([text_counts(t.as_py()) for t in b.column(2)], np.int64).reshape(-1, len(names))
+            counts = np.array([text_counts(t.as_py(), h) for t, h in zip(b.column(2), texts_word_hashes(b.column(2), lower=False), strict=True)], np.int64).reshape(-1, len(names))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array(c) for c in np.ascontiguousarray(counts.T)]], ["doc_id", "tkey", *names])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_key(F.col(text_col)).alias("tkey"), F.col(text_col).cast("string").alias("text"))
