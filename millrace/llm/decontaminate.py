@@ -224,7 +224,7 @@ def find_passages(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id",
     return reduce(DataFrame.union, found)
 
 
-def _one_pass(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, max_edit: float = 0.08, walks: int = 6, tables: int = 6, bits: int = 5, block_items: int = 2_000, seed: int = 11) -> DataFrame:
+def _one_pass(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, max_edit: float = 0.08, walks: int = 10, tables: int = 12, bits: int = 3, block_items: int = 2_000, seed: int = 11) -> DataFrame:
     known = sorted({(-1 if i is None else i, t) for i, t in ((r[0], normal(r[1])) for r in items.toLocalIterator()) if t})
     sent = docs.sparkSession.sparkContext.broadcast(known)
 
