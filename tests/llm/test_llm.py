@@ -353,7 +353,7 @@ def test_decontamination_recall():
     random.seed(2)
     word = lambda: "".join(random.choice("aeioutnrsl") for _ in range(random.randrange(2, 9)))
     items = [(i, " ".join(word() for _ in range(40)).encode()) for i in range(60)]
-    index = decontaminate.Index(items, 0.08, 6, 6, 5, 11)
+    index = decontaminate.Index(items, 0.08, 10, 12, 3, 11)
     texts = []
     for _, t in items:
         s = list(t.decode())
@@ -369,7 +369,7 @@ def test_decontamination_recall():
 def test_decontamination_of_short_items():
     for n, texts in ((5, [b"(hills).", b"hills", b"hill"]), (14, [b"x (over the hills).", b"an over tha hills", b"ovr the hills y", b"ovr tha hills"]), (25, [b"so over the hills twice, now!", b"over tha hils twice, now", b"ovr tha hils twice, now"])):
         item = {5: b"hills", 14: b"over the hills", 25: b"over the hills twice, now"}[n]
-        index = decontaminate.Index([(0, item)], 0.08, 6, 6, 5, 11)
+        index = decontaminate.Index([(0, item)], 0.08, 10, 12, 3, 11)
         k = index.edits(len(item))
         want = {(i, decontaminate.edit_match(item, t)[0]) for i, t in enumerate(texts) if decontaminate.edit_match(item, t)[0] <= k}
         got = decontaminate.scan_block(index, texts)
@@ -382,17 +382,226 @@ def test_op7_digest(spark):
     assert len(r.kept_sha256) == len(hashlib.sha256(b"").hexdigest())
 
 
-def test_pipeline(spark):
-    import corpus_pipeline
+def test_line_dedup_bitmaps_and_names(spark):
+    rows = [(i, f"a\nb{i}\na\nA \nc{i}\na", 5, 6, "x", i) for i in range(11)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_lines int, _i int, __t string, __m int")
+    bitmaps = line_dedup.keep_bitmaps(df)
+    assert {bytes(r.bitmap) for r in bitmaps.collect()} == {b"".join(n.to_bytes(4, "big") for n in (0, 1, 2, 2, 5, 1))}
+    runs = bitmaps.select(line_dedup.unpacked(F.col("bitmap")).alias("runs")).first().runs
+    assert [(r.start, r.len) for r in runs] == [(0, 1), (2, 2), (5, 1)]
+    out = line_dedup.dedup_lines(df, lines_as="lines", dropped_as="gone")
+    assert out.columns == ["doc_id", "n_lines", "_i", "__t", "__m", "text", "lines", "gone"]
+    assert {(r.doc_id, r.text, r.lines, r.gone, r.n_lines, r["__m"]) for r in out.collect()} == {(i, f"b{i}\nc{i}", 6, 4, 5, i) for i in range(11)}
 
+
+def test_line_dedup_of_many_lines(spark):
+    rows = [(i, "\n".join("same" if k % 2 else f"{i}-{k}" for k in range(40_000))) for i in range(10)]
+    out = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all(r.n_dropped == 20_000 and r.text == "\n".join(f"{r.doc_id}-{k}" for k in range(0, 40_000, 2)) for r in out)
+
+
+def test_components_by_shuffles_equal_those_of_one_task(spark):
+    import random
+
+    random.seed(8)
+    links = [(random.randrange(400), random.randrange(400)) for _ in range(250)] + [(1_000 + i, 1_001 + i) for i in range(40)]
+    df = spark.createDataFrame(links, "a long, b long")
+    pairs = lambda t: {(r.node, r.label) for r in t.collect()}
+    assert pairs(components(df)) == pairs(components(df, in_one=0))
+    with pytest.raises(RuntimeError):
+        components(df, in_one=0, most_rounds=1)
+
+
+def test_ngram_join_with_shared_signatures_and_pivots(spark, monkeypatch):
     df = spark.read.parquet(f"{SF}/documents.parquet")
-    before = {r.doc_id for r in df.collect()}
-    out = [r.doc_id for r in corpus_pipeline.run(spark, SF).collect()]
-    assert len(out) == len(set(out)) and set(out) < before
-    # By hand: verdicts, then line dedup on those, then one of each component, then no passage.
-    kept = quality_rules.quality_verdicts(df, spark.read.parquet(f"{SF}/labels.parquet")).where("kept").select("doc_id")
-    left = line_dedup.dedup_lines(df.join(kept, "doc_id")).select("doc_id", "text").collect()
-    alone = {i for i, _, c in brute_components([tuple(r) for r in left]) if i == c}
-    items = [decontaminate.normal(r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
-    assert set(out) <= alone
-    assert all(not any(t in decontaminate.normal(text) for t in items) for i, text in left if i in set(out))
+    rows = [(r.doc_id, r.text) for r in df.collect()]
+    base = [f"t{i}" for i in range(60)]
+    for k in range(120):  # a crowd whose buckets hold far more pairs than rows
+        w = list(base)
+        w[k % 60] = f"n{k}"
+        rows.append((100_000 + k, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    want = brute_components(rows)
+    assert {tuple(r) for r in ngram_join.jaccard_components(df).collect()} == want
+    monkeypatch.setattr(ngram_join, "signature", lambda found: len(found) % 50)
+    assert {tuple(r) for r in ngram_join.jaccard_components(df).collect()} == want
+
+
+def test_fragments_cut_the_global_order(spark):
+    text = " ".join(f"w{i}" for i in range(500))
+    found = ngram_join.shingle_set(text, 5)
+    heavy = found[::7].copy()
+    rows = ngram_join._fragments(spark.createDataFrame([(text,), (None,)], "text string"), 5, 4, False, heavy, frozenset()).collect()
+    parts = {r.grp: {x % 2**64 for x in r.part} for r in rows}
+    assert sorted(parts) == [0, 1, 2, 3] and parts[3] == set(heavy.tolist()) and set().union(*parts.values()) == set(found.tolist())
+    assert max(parts[0]) < min(parts[1]) and max(parts[1]) < min(parts[2])
+
+
+def plain_path(x, tree, at=0, depth=0):
+    feature, cut, left, leaf = (a[at] for a in tree)
+    if feature < 0:
+        return leaf
+    return plain_path(x, tree, left + (1 if x[feature] >= cut else 0), depth + 1)
+
+
+def test_forest_against_a_recursive_version():
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(600, 4))
+    x[:5] += 9
+    x[:, 3] = 1  # a column without a split
+    forest, size = quality_rules.grow_forest(x, 40, 100, 1)
+    score = quality_rules.anomaly(forest, x, size)
+    for i in range(0, 600, 60):
+        mean = sum(plain_path(x[i], t) for t in forest) / 40
+        assert score[i] == pytest.approx(2 ** -(mean / quality_rules._depth(100)))
+    assert score[:5].min() > np.quantile(score[5:], 0.99)
+    # A leaf's path length is its depth and what a tree of its rows would add; the shares of its rows fit the sample.
+    for tree in forest[:5]:
+        inner = tree[0] >= 0
+        assert (tree[2][inner] > np.flatnonzero(inner)).all() and (tree[3][~inner] >= 1).all()
+    assert quality_rules._depth(2) == 1 and quality_rules._depth(256) == pytest.approx(10.24, abs=0.05)
+
+
+def test_limit_from_both_labels():
+    seen = [(9, 0, 40), (9, 1, 1), (8, 0, 30), (8, 1, 4), (5, 0, 30), (5, 1, 995)]
+    assert quality_rules.best_limit(seen, 0.01) == 8
+    assert quality_rules.best_limit(seen, 0.001) == 9
+    assert quality_rules.best_limit([(9, 1, 5), (2, 1, 5)], 0.5) is None and quality_rules.best_limit([], 0.5) is None
+    assert quality_rules.best_limit([(9, 1, 10), (2, 0, 10)], 1.0) is None
+
+
+def test_quality_verdicts_do_not_depend_on_partitions(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    own = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    one = {(r.doc_id, r.kept, round(r.anomaly, 9)) for r in quality_rules.quality_verdicts(df, own).collect()}
+    assert one == {(r.doc_id, r.kept, round(r.anomaly, 9)) for r in quality_rules.quality_verdicts(df.repartition(7), own).collect()}
+
+
+def test_compression_scores_against_plain_ones(spark):
+    import numpy as np
+
+    sf = "/root/testdata/sf0.01"
+    df = spark.read.parquet(f"{sf}/documents.parquet")
+    own = spark.read.parquet(f"{sf}/labels.parquet")
+    base = df.select("doc_id", "text")
+    parts, rest, n = quality_classifier._sample(base, own, 1_500, 1_500, 4 << 20)
+    known = [r for r in own.where("quality is not null").distinct().collect() if zlib.crc32(str(r.doc_id).encode()) % 5]
+    assert sum(n.values()) == len({(r.doc_id, r.quality) for r in known}) and len(parts[0]) + len(parts[1]) + len(rest[0]) + len(rest[1]) <= len(known)
+    good, bad = (quality_classifier._dictionary(parts[q], 262_144) for q in (1, 0))
+
+    def difference(text):
+        size = lambda raw: len(quality_classifier.zstandard.ZstdCompressor(level=3, dict_data=quality_classifier.zstandard.ZstdCompressionDict(raw), write_content_size=False, write_checksum=False, write_dict_id=False).compress(text))
+        return (size(bad) - size(good)) / (len(text) + 60)
+
+    x = np.array([difference(t) for q in (0, 1) for t in rest[q]])
+    y = np.repeat([0.0, 1.0], [len(rest[0]), len(rest[1])])
+    prior = n[1] / (n[0] + n[1])
+    w = np.where(y > 0, prior / y.mean(), (1 - prior) / (1 - y.mean()))
+    order = np.argsort(x, kind="stable")
+    x, y, w = x[order], y[order], w[order]
+    # Isotonic regression by its min-max form.
+    mean = lambda i, j: (w[i : j + 1] * y[i : j + 1]).sum() / w[i : j + 1].sum()
+    fit = [max(min(mean(i, j) for j in range(k, len(x))) for i in range(k + 1)) for k in range(0, len(x), 9)]
+    curve = quality_classifier.Curve(x, y, prior)
+    blocks = [curve.share[np.searchsorted(curve.at, v, side="right") - 1] if v >= curve.at[0] else curve.share[0] for v in x[::9]]
+    assert len(set(np.round(fit, 6))) <= len(curve.at) and all(any(abs(f - s) < 0.04 for s in curve.share) for f in fit) and len(blocks) == len(fit)
+    scores = {r.doc_id: r for r in quality_classifier.quality_scores(df, own).collect()}
+    texts = {r.doc_id: (r.text or "").encode() for r in df.collect()}
+    for i in list(texts)[::25]:
+        assert scores[i].score == pytest.approx(float(curve.score(np.array([difference(texts[i])]))[0]))
+        assert scores[i].predicted == (scores[i].score >= 0.3) and scores[i].held_out == (zlib.crc32(str(i).encode()) % 5 == 0)
+
+
+def test_warc_dictionary_and_frames(spark):
+    rows = [(i, f"http://h/{i}", f"<html><body>{'page ' * 40}{i}</body></html>") for i in range(300)]
+    path = new_path(spark, "t")
+    warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), path, dict_bytes=4_096)
+    raw = next(bytes(r.content) for r in spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content").collect())
+    magic, size = int.from_bytes(raw[:4], "little"), int.from_bytes(raw[4:8], "little")
+    assert magic == warc.DICT_MAGIC and b"WARC-Type: response" in raw[8 : 8 + size]
+    # Each record is a frame of its own, readable alone with the dictionary.
+    frames = [f for f in raw[8 + size :].split(warc.SEPARATOR.encode()) if f]
+    reader = warc.zstandard.ZstdDecompressor(dict_data=warc.load_dictionary(raw[8 : 8 + size]))
+    records = [reader.decompress(f) for f in frames]
+    assert len(records) == 300 and all(r.startswith(b"WARC/1.1") for r in records)
+    assert sum(map(len, frames)) < sum(map(len, records)) / 5
+
+
+def test_language_letters_and_rare_languages(spark):
+    table = language_id.script_table()
+    assert all((table[ord(c)] != language_id.COMMON) == c.isalpha() for c in "aÄжλ文あ한กｆꀀᐁﺍﬁµªʰ×÷0٣๓_ ।")
+    rows = [(i, "the house and the garden of the man", "en") for i in range(40)] + [(50 + i, "das haus und der garten von dem mann", "de") for i in range(40)]
+    rows += [(200 + i, f"zuq{'xyz'[i % 3]}w vek lopp{i}", f"l{i:03}") for i in range(260)]  # more languages than any cap
+    rows += [(500, "12 × 3 ÷ 4 ٣", "en"), (501, None, "en"), (502, "ꀀꀁ", None), (503, "", "en")]
+    out = {r.doc_id: r for r in language_id.language_spans(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert all(out[i].lang_pred == "und" and out[i].score == 0 for i in (500, 501, 503)) and out[502].lang_pred != "und"
+    learned = [i for i in range(260) if zlib.crc32(str(200 + i).encode()) % 5]
+    assert sum(out[200 + i].lang_pred == f"l{i:03}" for i in learned) > 0.9 * len(learned)
+    assert out[0].lang_pred == "en" and out[50].lang_pred == "de"
+
+
+def test_viterbi_against_all_paths():
+    import itertools
+
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    sizes = np.array([5, 0, 1, 6])
+    score = rng.normal(size=(12, 3)).astype(np.float32) * 3
+    path = language_id.viterbi(score, sizes, 2.0)
+    begins = np.cumsum([0, *sizes])
+    for a, z in zip(begins[:-1], begins[1:], strict=True):
+        worth = lambda p, a=a: sum(float(score[a + i, k]) for i, k in enumerate(p)) - 2.0 * sum(x != y for x, y in zip(p, p[1:]))
+        if z > a:
+            assert worth(tuple(path[a:z])) == pytest.approx(max(worth(p) for p in itertools.product(range(3), repeat=z - a)), abs=1e-4)
+
+
+@pytest.mark.parametrize("size", [9, 13, 16, 18, 20, 25, 26, 30, 50, 81, 150, 400, 900])
+def test_decontamination_recall_by_length(size):
+    """Against an exhaustive edit search; at all lengths, with as many edits as the item may have."""
+    import random
+
+    random.seed(size)
+    letters = "aeioutnrsl dhmc"
+    items = [(i, decontaminate.normal("x" + "".join(random.choice(letters) for _ in range(size * 2)))[:size].strip()) for i in range(25)]
+    index = decontaminate.Index(items, 0.08, 10, 12, 3, 11)
+    texts = []
+    for _, t in items:
+        s = list(t.decode())
+        for _ in range(index.edits(len(t))):
+            at = random.randrange(len(s))
+            s[at : at + 1] = random.choice([[], [random.choice("abcdefgh")], [s[at], random.choice("abcdefgh")]])
+        texts.append(decontaminate.normal("before (it " + "".join(s) + ") after it"))
+    true = {(i, k) for i, t in enumerate(texts) for k, (_, p) in enumerate(items) if decontaminate.edit_match(p, t)[0] <= index.edits(len(p))}
+    found = {r[:2] for r in decontaminate.scan_block(index, texts)}
+    assert found <= true and len(found) >= 0.9 * len(true) and len(true) >= 20
+
+
+def test_decontamination_in_several_passes(spark, docs):
+    items = spark.createDataFrame([(1, BODY), (2, None), (None, " "), (3, "one two"), (4, "absent words here and there")], "item_id long, text string")
+    rows = lambda n: {tuple(r) for r in decontaminate.find_passages(docs, items, item_bytes=n).collect()}
+    assert rows(40) == rows(1 << 20) and len(rows(40)) == 6
+
+
+def test_packing_carries_columns(spark):
+    rows = [(i, "w " * (i % 7), i, "b") for i in range(50)] + [(None, None, 1, "c"), (3, "w w w ", 2, "d"), (3, "w w w ", 2, "d")]
+    out = packing.pack(spark.createDataFrame(rows, "doc_id long, text string, bucket int, p string"), carry=("text", "p"), budget=12).collect()
+    assert Counter((r.doc_id, r.text, r.p) for r in out) == Counter((r[0], r[1], r[3]) for r in rows)
+    assert len({(r.bucket, r.batch, r.slot) for r in out}) == len(rows)
+
+
+def test_sql_of_the_operators(spark):
+    import duckdb
+
+    from millrace.llm.queries import ORACLE, QUERIES
+
+    c = duckdb.connect()
+    for t in ("documents", "pages"):
+        c.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
+    for name, sql in ORACLE.items():
+        got = c.execute(sql)
+        names = [d[0] for d in got.description]
+        want = sorted(got.fetchall(), key=repr)
+        assert sorted((tuple(r[k] for k in names) for r in QUERIES[name](spark, SF).collect()), key=repr) == want, name
