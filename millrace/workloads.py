@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.errors import MillraceError
 from millrace.functions import scalars, strings
 from millrace.operators import aggregates as agg
 from millrace.operators import relational as op
-from millrace.plans.explain import physical
+from millrace.plans import explain as plans
 from millrace.session import EngineSession
 from millrace.sources import fixtures
 
@@ -23,7 +25,7 @@ def session(spark: SparkSession, sf_dir: str) -> EngineSession:
     """An engine session in which the driver's tables are read-only tables."""
     s = EngineSession(spark)
     for t in TABLES:
-        s.catalog.register(t, spark.read.parquet(f"{sf_dir}/{t}.parquet"))
+        s.catalog.register(t, partial(spark.read.parquet, f"{sf_dir}/{t}.parquet"))
     return s
 
 
@@ -78,7 +80,7 @@ def _(spark, sf_dir):
 
 @frame("table_generator", "SELECT i AS serial, 3 + i % 5 AS cyclic FROM range(1000) t(i)")
 def _(spark, sf_dir):
-    return spark.range(1000).select(fixtures.serial().alias("serial"), fixtures.cyclic(3, 7).alias("cyclic")).select("serial", (F.lit(3) + F.col("serial") % 5).alias("cyclic"))
+    return spark.range(1000).select(fixtures.serial().alias("serial"), fixtures.cyclic(3, 7).alias("cyclic"))
 
 
 # Filters and scalar expressions
@@ -101,10 +103,21 @@ def _(spark, sf_dir):
     return op.project(_t(spark, sf_dir, "nation", "n_nationkey"), k, math("%", 7).alias("m"), math("/", 4).alias("d"), scalars.least(k, F.lit(9)).alias("lo"), scalars.greatest(k, F.lit(9)).alias("hi"), scalars.sqrt(k).alias("r"), scalars.is_zero(k).alias("zero"), scalars.cast_as(k, "varchar", kind).alias("s"))
 
 
-@frame("strict_string_functions", "SELECT lower(r_name) AS low FROM region")
+@frame("strict_string_functions", "SELECT lower(r_name) AS low, upper(r_name) AS up, true AS wrong_type, true AS wrong_count, true AS unknown FROM region")
 def _(spark, sf_dir):
     df = _t(spark, sf_dir, "region")
-    return df.select(strings.call("lower", [F.col("r_name")], [df.schema["r_name"].dataType]).alias("low"))
+    name, key, kinds = F.col("r_name"), F.col("r_regionkey"), {f.name: f.dataType for f in df.schema}
+
+    def refused(*call) -> bool:
+        try:
+            strings.call(*call)
+        except MillraceError:
+            return True
+        return False
+
+    text = kinds["r_name"]
+    checks = {"wrong_type": refused("upper", [key], [kinds["r_regionkey"]]), "wrong_count": refused("lower", [name, name], [text, text]), "unknown": refused("reverse", [name], [text])}
+    return df.select(strings.call("lower", [name], [text]).alias("low"), strings.call("upper", [name], [text]).alias("up"), *[F.lit(v).alias(k) for k, v in checks.items()])
 
 
 # Joins
@@ -146,10 +159,8 @@ dialect("distinct_one", "SELECT DISTINCT l_returnflag FROM lineitem")
 dialect("distinct_multi", "SELECT DISTINCT l_returnflag, l_linestatus, l_linenumber FROM lineitem")
 
 
-@frame("agg_first_last", "SELECT n_regionkey, min(n_nationkey) AS f, max(n_nationkey) AS l FROM nation GROUP BY n_regionkey")
-def _(spark, sf_dir):
-    k = F.col("n_nationkey")
-    return _t(spark, sf_dir, "nation", "n_regionkey", "n_nationkey").groupBy("n_regionkey").agg(F.min_by(k, k).alias("f"), F.max_by(k, k).alias("l"))
+# Values that a group's rows share, so that the order of rows does not matter.
+dialect("agg_first_last", "SELECT n_regionkey, first(n_regionkey + 1) AS f, last(n_regionkey * 2) AS l, first(lower('Ab')) AS s FROM nation GROUP BY n_regionkey", "SELECT n_regionkey, n_regionkey + 1 AS f, n_regionkey * 2 AS l, 'ab' AS s FROM nation GROUP BY n_regionkey")
 
 
 @frame("agg_count_standard", "SELECT count(o_orderkey) AS k FROM orders WHERE 1 = 2")
@@ -167,14 +178,17 @@ dialect("topn_nested", "SELECT o_orderkey FROM (SELECT o_orderkey, o_custkey FRO
 dialect("limit_ordered", "SELECT p_partkey FROM part ORDER BY p_partkey LIMIT 20")
 
 
-@frame("topn_plan", "SELECT true AS topn, true AS hash_join, true AS nested_loop")
+@frame("topn_plan", "SELECT * FROM (VALUES ('hash_join', 2, 0, 0), ('nlj', 0, 1, 0), ('sort_limit', 0, 0, 1), ('limit_in_subquery', 0, 0, 2)) AS v(query, hash_joins, loops, topns)")
 def _(spark, sf_dir):
     s = session(spark, sf_dir)
-    plan = lambda q: physical(s.sql(q))
-    top = "TakeOrderedAndProject" in plan("SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 3")
-    hashed = "Join" in plan("SELECT n_name FROM nation, region WHERE n_regionkey = r_regionkey")
-    loop = "BroadcastNestedLoopJoin" in plan("SELECT n_name FROM nation INNER JOIN region ON n_regionkey < r_regionkey")
-    return spark.createDataFrame([(top, hashed, loop)], "topn boolean, hash_join boolean, nested_loop boolean")
+    texts = {
+        "hash_join": "SELECT n_name, c_custkey FROM nation, region, customer WHERE n_regionkey = r_regionkey AND c_nationkey = n_nationkey",
+        "nlj": "SELECT n_name FROM nation INNER JOIN region ON n_regionkey < r_regionkey",
+        "sort_limit": "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 3",
+        "limit_in_subquery": "SELECT o_orderkey FROM (SELECT o_orderkey, o_custkey FROM orders ORDER BY o_orderkey DESC LIMIT 50) AS t ORDER BY o_custkey, o_orderkey LIMIT 7",
+    }
+    rows = [(k, *[plans.count(s.sql(q), x) for x in ("hash_join", "nlj", "topn")]) for k, q in texts.items()]
+    return spark.createDataFrame(rows, "query string, hash_joins int, loops int, topns int")
 
 
 # Subqueries and CTEs
@@ -205,18 +219,29 @@ def _(spark, sf_dir):
     return spark.createDataFrame(list(enumerate(said, 1)), "step int, said string")
 
 
-@frame("meta_commands", "SELECT 't' AS name, 'a:int, b:varchar(8)' AS cols UNION ALL SELECT 'i', 'a'")
+@frame("meta_commands", "SELECT * FROM (VALUES ('t', 'a:int, b:varchar(8)'), ('region', 'r_regionkey:int, r_name:string'), ('__mock_t8', 'v4:int'), ('empty_table', 'colA:int'), ('i', 'a')) AS v(name, cols)")
 def _(spark, sf_dir):
     s = session(spark, sf_dir)
     s.execute("CREATE TABLE t (a int, b varchar(8)); CREATE INDEX i ON t (a)")
-    return s.sql(r"\dt").selectExpr("name", "cols").union(s.sql(r"\di").selectExpr("index_name", "index_cols"))
+    tables = s.sql(r"\dt").where(F.col("name").isin("t", "region", "__mock_t8", "empty_table")).selectExpr("name", "cols")
+    return tables.union(s.sql(r"\di").selectExpr("index_name", "index_cols"))
 
 
-@frame("explain_modes", "SELECT * FROM (VALUES ('b', true), ('p', true), ('o', true), ('s', true)) AS v(mode, shown)")
+@frame(
+    "explain_modes",
+    """SELECT * FROM (VALUES
+    ('select', 'PLANNER', 'Project Project Filter Project Relation'), ('select', 'OPTIMIZER', 'Project Filter Relation'), ('select', 'SCHEMA', '(name:string, more:int)'),
+    ('insert', 'PLANNER', 'Insert Project Project Filter Project Relation'), ('delete', 'SCHEMA', '(__mill.rows:int)'), ('update', 'OPTIMIZER', 'Update Project Filter Relation')) AS v(statement, mode, shown)""",
+)
 def _(spark, sf_dir):
     s = session(spark, sf_dir)
-    heads = {"b": "BINDER", "p": "PLANNER", "o": "OPTIMIZER", "s": "SCHEMA"}
-    return spark.createDataFrame([(m, f"=== {h} ===" in s.execute(f"EXPLAIN ({m}) SELECT n_name FROM nation")[0].message) for m, h in heads.items()], "mode string, shown boolean")
+    s.execute("CREATE TABLE t (s varchar(64), k int); INSERT INTO t VALUES ('x', 1), ('y', 2)")
+    texts = {"select": "SELECT n_name AS name, n_nationkey + 1 AS more FROM nation WHERE n_regionkey = 2", "insert": "INSERT INTO t SELECT n_name, n_nationkey FROM nation WHERE n_regionkey = 2", "delete": "DELETE FROM t WHERE k = 1", "update": "UPDATE t SET k = k + 1 WHERE k = 2"}
+    rows = []
+    for kind, mode in (("select", "PLANNER"), ("select", "OPTIMIZER"), ("select", "SCHEMA"), ("insert", "PLANNER"), ("delete", "SCHEMA"), ("update", "OPTIMIZER")):
+        said = s.execute(f"EXPLAIN ({mode.lower()}) {texts[kind]}")[0].message
+        rows.append((kind, mode, said.split("\n", 1)[1] if mode == "SCHEMA" else " ".join(plans.operators(said, mode))))
+    return spark.createDataFrame(rows, "statement string, mode string, shown string")
 
 
 # Iteration and the three million-row shapes
@@ -224,6 +249,24 @@ GRAPH = "SELECT l.src AS src, r.dst AS dst, l.distance + r.distance AS distance
 HOP = "SELECT src, dst, min(distance) AS distance FROM ({}) AS p GROUP BY src, dst"
 EDGES = "(SELECT i % 10 AS src, i // 10 AS dst, CASE WHEN i % 10 <> i // 10 THEN 1 END AS distance FROM range(100) g(i))"
 dialect("graph_k_hop", HOP.format(GRAPH.format("(" + HOP.format(GRAPH.format("__mock_graph")) + ")")), HOP.format(GRAPH.format("(" + HOP.format(GRAPH.format(EDGES)) + ")")).replace("__mock_graph", EDGES))
+
+
+@frame(
+    "graph_shortest_path",
+    """WITH RECURSIVE e AS (SELECT n_nationkey AS src, (n_nationkey * 2 + 1) % 25 AS dst, n_regionkey + 1 AS d FROM nation UNION ALL SELECT n_nationkey, (n_nationkey + 7) % 25, 3 FROM nation),
+    p(src, dst, d, hops) AS (SELECT src, dst, d, 1 FROM e UNION ALL SELECT p.src, e.dst, p.d + e.d, hops + 1 FROM p JOIN e ON p.dst = e.src WHERE hops < 5)
+    SELECT src, dst, min(d)::INT AS d FROM p GROUP BY src, dst""",
+)
+def _(spark, sf_dir):
+    s = session(spark, sf_dir)
+    s.execute("CREATE TABLE e (src int, dst int, d int); INSERT INTO e SELECT n_nationkey, (n_nationkey * 2 + 1) % 25, n_regionkey + 1 FROM nation; INSERT INTO e SELECT n_nationkey, (n_nationkey + 7) % 25, 3 FROM nation")
+    s.execute("CREATE TABLE best (src int, dst int, d int); CREATE TABLE tmp (src int, dst int, d int); INSERT INTO best SELECT src, dst, min(d) FROM e GROUP BY src, dst")
+    for _ in range(4):
+        s.execute("DELETE FROM tmp; INSERT INTO tmp SELECT * FROM best; INSERT INTO tmp SELECT b.src, e.dst, b.d + e.d FROM best b INNER JOIN e ON b.dst = e.src")
+        s.execute("DELETE FROM best; INSERT INTO best SELECT src, dst, min(d) FROM tmp GROUP BY src, dst")
+    return s.sql("SELECT src, dst, d FROM best")
+
+
 dialect("leaderboard_q1", "SELECT x, y, z FROM __mock_t1 WHERE x >= 90 AND y = 10", "SELECT i // 10000 AS x, i % 10000 AS y, i AS z FROM range(1000000) t(i) WHERE i // 10000 >= 90 AND i % 10000 = 10")
 dialect(
     "leaderboard_q2",
