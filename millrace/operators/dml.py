@@ -1,7 +1,9 @@
 """Insert, delete and update over versioned Parquet snapshots.
 
 A table is a list of immutable Parquet folders. Each statement writes a new folder and then swaps the list, so a statement
-reads its own table as it was, and one that fails changes nothing. Row counts come with the write, not from another pass.
+reads its own table as it was, and one that fails changes nothing. Inserts count rows as they write them. Deletes and updates
+first count the rows they hit in each folder, by a scan of the predicate's columns alone, and then write anew only folders
+with such rows.
 """
 
 from __future__ import annotations
@@ -46,25 +48,34 @@ def insert(table: Table, rows: DataFrame) -> int:
     return n
 
 
+def _split(table: Table, hit: Column) -> tuple[int, list[str], list[str]]:
+    """Rows hit, folders with such rows, and the other folders."""
+    if not table.parts:
+        return 0, [], []
+    name = F.regexp_extract(F.col("_metadata.file_path"), "(v=[0-9a-f]+)/[^/]*$", 1)
+    seen = {r["part"]: r["count"] for r in table.read().where(hit).groupBy(name.alias("part")).count().collect()}
+    touched = [p for p in table.parts if p.rsplit("/", 1)[1] in seen]
+    return sum(seen.values()), touched, [p for p in table.parts if p not in touched]
+
+
 def delete(table: Table, predicate: Column | None) -> int:
     """Rows for which the predicate is true go; no predicate, all rows."""
-    old = table.read()
-    hit = F.lit(True) if predicate is None else F.coalesce(predicate, F.lit(False))
-    df, seen = _counted(old.withColumn("__hit", hit), F.col("__hit"))
-    path = _write(table, df.where("not __hit").drop("__hit"))
-    n = seen.get["n"]
-    table.parts = [path]
+    if predicate is None:
+        n, table.parts = table.read().count(), []
+        return n
+    hit = F.coalesce(predicate, F.lit(False))
+    n, touched, rest = _split(table, hit)
+    if touched:
+        table.parts = [*rest, _write(table, table.read(touched).where(~hit))]
     return n
 
 
 def update(table: Table, changes: dict[str, Column], predicate: Column | None) -> int:
     """All new values are computed from the old row."""
-    old = table.read()
     hit = F.lit(True) if predicate is None else F.coalesce(predicate, F.lit(False))
-    df, seen = _counted(old.withColumn("__hit", hit), F.col("__hit"))
-    kinds = {c.name: c.kind for c in table.columns}
-    new = df.select(*[F.when(F.col("__hit"), changes[c]).otherwise(F.col(c)).cast(kinds[c]).alias(c) if c in changes else F.col(c) for c in kinds])
-    path = _write(table, new)
-    n = seen.get["n"]
-    table.parts = [path]
+    n, touched, rest = _split(table, hit)
+    if touched:
+        old = table.read(touched).withColumn("__hit", hit)
+        new = old.select(*[F.when(F.col("__hit"), changes[c.name]).otherwise(F.col(c.name)).cast(c.kind).alias(c.name) if c.name in changes else F.col(c.name) for c in table.columns])
+        table.parts = [*rest, _write(table, new)]
     return n
