@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -54,7 +55,7 @@ class Catalog:
         self.spark, self.root = spark, root.rstrip("/")
         self.tables: dict[str, Table] = {}
         self.indexes: dict[str, Index] = {}
-        self.views: dict[str, DataFrame] = {}
+        self.views: dict[str, tuple[str, DataFrame | Callable[[], DataFrame]]] = {}
         self._oids = itertools.count()
         self._index_oids = itertools.count()
 
@@ -79,9 +80,9 @@ class Catalog:
         self.indexes[name.lower()] = index
         return index
 
-    def register(self, name: str, df: DataFrame) -> None:
-        """A read-only table."""
-        self.views[name.lower()] = df
+    def register(self, name: str, df: DataFrame | Callable[[], DataFrame]) -> None:
+        """A read-only table, or what makes it when it is first read."""
+        self.views[name.lower()] = (name, df)
 
     def table(self, name: str) -> Table:
         if name.lower() not in self.tables:
@@ -93,13 +94,22 @@ class Catalog:
         if key in self.tables:
             return self.tables[key].read()
         if key in self.views:
-            return self.views[key]
+            own, df = self.views[key]
+            if not isinstance(df, DataFrame):
+                df = df()
+                self.views[key] = (own, df)
+            return df
         if key in fixtures.TABLES:
             return fixtures.read(self.spark, key)
         raise MillraceError(f"invalid table {name}")
 
     def describe_tables(self) -> DataFrame:
+        """Own tables, then registered and generated ones; those have no id of their own and are numbered behind."""
         rows = [(t.oid, t.name, ", ".join(f"{c.name}:{c.type_name}" + (f"({c.length})" if c.length else "") for c in t.columns)) for t in self.tables.values()]
+        oid = max((r[0] for r in rows), default=-1)
+        for name in [*(n for n, _ in self.views.values()), *fixtures.TABLES]:
+            oid += 1
+            rows.append((oid, name, ", ".join(f"{f.name}:{f.dataType.simpleString()}" for f in self.read(name).schema)))
         return self.spark.createDataFrame(rows, "oid int, name string, cols string")
 
     def describe_indices(self) -> DataFrame:

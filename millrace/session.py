@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import html
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from millrace.catalog import Catalog
 from millrace.errors import MillraceError
@@ -78,34 +79,60 @@ class EngineSession:
         kind = s[0]
         if kind == "select":
             return Result(self._binder().query(s[1]), ordered=bool(s[1]["order"]))
-        if kind == "insert":
-            if s[1].startswith("__"):
-                raise MillraceError(f"{s[1]} can't be changed")
-            return self._count("insert", dml.insert(self.catalog.table(s[1]), self._binder().query(s[2])))
-        if kind in ("delete", "update"):
-            table, binder = self.catalog.table(s[1]), self._binder()
-            names = [c.name for c in table.columns]
-            bind = lambda e: binder.resolve(e, _Flat(table))
-            where = None if s[-1] is None else binder.boolean(bind(s[-1]), {})
-            if kind == "delete":
-                return self._count("delete", dml.delete(table, where))
-            lower = {n.lower(): n for n in names}
-            if any(c.lower() not in lower for c, _ in s[2]):
-                raise MillraceError("no such column")
-            return self._count("update", dml.update(table, {lower[c.lower()]: binder.column(bind(e), {}) for c, e in s[2]}, where))
+        if kind in ("insert", "delete", "update"):
+            return self._count(kind, self._change(s)())
         if kind == "create_table":
             return Result(message=f"Table created with id = {self.catalog.create_table(s[1], s[2]).oid}")
         if kind == "create_index":
             return Result(message=f"Index created with id = {self.catalog.create_index(s[1], s[2], s[3]).oid}")
         if kind == "explain":
-            if s[2][0] == "select":
-                return Result(message=plans.explain(self._binder().query(s[2][1]), s[2], s[1]))
-            return Result(message=f"=== BINDER ===\n{s[2]}")
+            inner = s[2]
+            if inner[0] == "select":
+                return Result(message=plans.explain(self._binder().query(inner[1]), inner, s[1]))
+            if inner[0] in ("insert", "delete", "update"):
+                return Result(message=plans.explain(self._rows(inner), inner, s[1], f"{inner[0].capitalize()} {inner[1]}"))
+            return Result(message=f"=== BINDER ===\n{inner}")
         if kind == "set":
             self.variables[s[1]] = s[2]
+            if s[1].lower() == "force_optimizer_starter_rule" and s[2].lower() in ("1", "true", "yes"):
+                return Result(message="force_optimizer_starter_rule has no effect: Spark's optimizer plans every query")
             return Result(message="")
         return Result(message=f"{s[1]}={self.variables.get(s[1], '')}")
 
+    def _where(self, s: tuple, table) -> Column | None:
+        binder = self._binder()
+        return None if s[-1] is None else binder.boolean(binder.resolve(s[-1], _Flat(table)), {})
+
+    def _new_values(self, s: tuple, table) -> dict[str, Column]:
+        binder = self._binder()
+        lower = {c.name.lower(): c.name for c in table.columns}
+        if any(c.lower() not in lower for c, _ in s[2]):
+            raise MillraceError("no such column")
+        return {lower[c.lower()]: binder.column(binder.resolve(e, _Flat(table)), {}) for c, e in s[2]}
+
+    def _change(self, s: tuple) -> Callable[[], int]:
+        """What carries out a changing statement and gives the number of rows."""
+        if s[1].startswith("__"):
+            raise MillraceError(f"{s[1]} can't be changed")
+        table = self.catalog.table(s[1])
+        if s[0] == "insert":
+            rows = self._binder().query(s[2])
+            return lambda: dml.insert(table, rows)
+        where = self._where(s, table)
+        if s[0] == "delete":
+            return lambda: dml.delete(table, where)
+        changes = self._new_values(s, table)
+        return lambda: dml.update(table, changes, where)
+
+    def _rows(self, s: tuple) -> DataFrame:
+        """The rows that a changing statement inserts, deletes or writes anew."""
+        table = self.catalog.table(s[1])
+        if s[0] == "insert":
+            return self._binder().query(s[2])
+        where = self._where(s, table)
+        hit = table.read() if where is None else table.read().where(where)
+        return hit if s[0] == "delete" else hit.select(*[self._new_values(s, table).get(c, F.col(c)).alias(c) for c in hit.columns])
+
 
 class _Flat:
     """Scope of one table's own columns, for UPDATE and DELETE."""

@@ -38,6 +38,7 @@ class Binder:
     def __init__(self, catalog: Catalog, *, compat: bool = True) -> None:
         self.catalog, self.compat = catalog, compat
         self.own = itertools.count()
+        self.items = itertools.count()
 
     # FROM
 
@@ -216,7 +217,7 @@ class Binder:
                     raise MillraceError(f"column {loose} must be grouped or aggregated")
             if having is not None:
                 df = relational.filter_rows(df, self.boolean(having, known))
-        names = [alias or f"__unnamed#{i}" for i, (_, alias) in enumerate(items)]
+        names = [alias or f"__item#{next(self.items)}" for _, alias in items]
         outputs = [self.column(e, known).alias(f"_o{i}") for i, (e, _) in enumerate(items)]
         extra = [e for e, _, _ in order if e not in [x for x, _ in items]]
         if extra and q["distinct"]:
