@@ -80,3 +80,48 @@ def test_cross_and_semi(spark):
     b = spark.range(2).toDF("k")
     assert relational.join(a, b, None).count() == 6
     assert relational.join(a, b, a.id == b.k, "left_anti").count() == 1
+
+
+def test_changes_leave_untouched_folders(spark):
+    s = session.EngineSession(spark)
+    s.execute("create table t (a int, b int)")
+    for k in range(3):
+        s.execute(f"insert into t values ({k}, 0), ({k + 10}, 1)")
+    before = list(s.catalog.table("t").parts)
+    assert s.execute("update t set b = 5 where a = 1")[0].rows() == [["1"]]
+    after = s.catalog.table("t").parts
+    assert after[:2] == [before[0], before[2]] and before[1] not in after
+    assert s.execute("delete from t where a = 99")[0].rows() == [["0"]] and s.catalog.table("t").parts == after
+    assert s.execute("delete from t where b = 5 or a = 2")[0].rows() == [["2"]]
+    assert s.execute("select a, b from t order by a")[0].rows() == [["0", "0"], ["10", "1"], ["11", "1"], ["12", "1"]]
+    assert s.execute("delete from t")[0].rows() == [["4"]] and s.catalog.table("t").parts == []
+
+
+def test_explain_of_changes(spark):
+    s = session.EngineSession(spark)
+    s.execute("create table t (a int, b int); insert into t values (1, 2)")
+    for text, head in (("insert into t select b, a from t", "Insert t"), ("delete from t where a = 1", "Delete t"), ("update t set a = b + 1", "Update t")):
+        said = s.execute(f"explain {text}")[0].message
+        assert said.count(head) == 3 and all(f"=== {h} ===" in said for h in ("BINDER", "PLANNER", "OPTIMIZER", "SCHEMA"))
+    assert s.execute("select a, b from t")[0].rows() == [["1", "2"]]
+
+
+def test_names_and_variables(spark):
+    s = session.EngineSession(spark)
+    assert s.sql("select 1 + 1, 2 as x, v4 - 1 from __mock_t8 limit 1").columns == ["__item#0", "x", "__item#1"]
+    assert "no effect" in s.execute("set force_optimizer_starter_rule = yes")[0].message
+    assert s.execute("show force_optimizer_starter_rule")[0].message == "force_optimizer_starter_rule=yes"
+    names = [r[1] for r in s.execute(r"\dt")[0].rows()]
+    assert {"__mock_table_1", "test_simple_seq_2", "__mock_t8"} <= set(names)
+
+
+def test_entry_without_the_training_operators(tmp_path):
+    import shutil
+    import subprocess
+    import sys
+
+    root = Path(__file__).resolve().parent.parent
+    shutil.copytree(root / "millrace", tmp_path / "millrace", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(root / "__spark_entry__.py", tmp_path)
+    out = subprocess.run([sys.executable, "-W", "ignore", "-c", "import __spark_entry__ as e; print(len(e.queries()) == len(e.oracle_sql()) > 70, 'pipeline' in e.queries())"], cwd=tmp_path, capture_output=True, text=True, check=True)
+    assert out.stdout.split() == ["True", "False"]
