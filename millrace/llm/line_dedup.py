@@ -51,10 +51,16 @@ def keep_bitmaps(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     dealt = written(ordered.withColumn("first", before.isNull()), "lines")
     often = written(dealt.where("first").groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs).select("h1", "h2"), "often")
     lost = dealt.join(maybe_broadcast(often, often.count()), ["h1", "h2"], "left_semi").select("doc_id", "tkey", "pos")
-    by = W.partitionBy("doc_id", "tkey").orderBy("pos")
-    runs = lost.withColumn("run", F.col("pos") - F.dense_rank().over(by)).groupBy("doc_id", "tkey", "run").agg(F.min("pos").alias("start"), F.max("pos").alias("last"))
-    found = runs.groupBy("doc_id", "tkey").agg(F.array_sort(F.collect_list(F.struct("start", (F.col("last") - F.col("start") + 1).alias("len")))).alias("runs"))
-    return found.select("doc_id", "tkey", packed(F.col("runs")).alias("bitmap"))
+    # Rows that repeat a document give its positions once, before the shuffle already.
+    found = lost.groupBy("doc_id", "tkey").agg(F.array_sort(F.collect_set("pos")).alias("at"))
+    return found.select("doc_id", "tkey", F.get(F.transform(F.array("at"), lambda at: packed(runs_of(at))), 0).alias("bitmap"))
+
+
+def runs_of(at: Column) -> Column:
+    """The runs (start, len) of positions in order."""
+    starts = F.filter(at, lambda x, i: F.coalesce(F.get(at, i - 1) != x - 1, F.lit(True)))
+    ends = F.filter(at, lambda x, i: F.coalesce(F.get(at, i + 1) != x + 1, F.lit(True)))
+    return F.zip_with(starts, ends, lambda a, z: F.struct(a.alias("start"), (z - a + 1).alias("len")))
 
 
 def kept_lines(text: Column, dropped: Column) -> Column:
