@@ -6,6 +6,7 @@ import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +35,7 @@ def word_hashes(words: list[bytes] | np.ndarray) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
-def texts_word_hashes(texts: pa.Array, lower: bool = True, at_once: int = 8 << 20) -> Iterator[np.ndarray]:
+def texts_word_hashes(texts: pa.Array, lower: bool = True, at_once: int = 4 << 20) -> Iterator[np.ndarray]:
     """For each text what word_hashes(words_of(text, lower)) gives; about at_once bytes of text are split at a time, and
     each distinct word among them is hashed once."""
     sizes = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
@@ -111,7 +112,8 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, tag)
     schema = df.schema
-    df.write.parquet(path)
+    with small_batches(spark):
+        df.write.parquet(path)
     out = spark.read.schema(schema).parquet(path)
     out._scratch = path
     fs, where = _file_system(spark, path)
@@ -119,6 +121,18 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return out
 
 
+@contextmanager
+def small_batches(spark: SparkSession, most: int = 4 << 20) -> Iterator[None]:
+    """Within it, Python workers get at most about so many bytes of rows at a time, however long the texts are."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(most))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def _file_system(spark: SparkSession, path: str):
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), where

@@ -33,7 +33,7 @@ MOST_HEAVY = 1 << 20
 #: Buckets of at most so many sets may give a pair at each of its common tokens.
 FEW = 40
 #: Occurrences gathered in a Python worker before they are counted.
-BLOCK = 2_000_000
+BLOCK = 1_000_000
 #: Tasks over which a frequent shingle's rows are dealt.
 SALTS = 64
 
@@ -157,7 +157,7 @@ def _prefixes(docs: DataFrame, width: int, percent: int, heavy: np.ndarray, shar
                 salt = np.where(np.arange(k) < n - int(late.sum()), 0, 1 + sig % SALTS).astype(np.int32)
                 parts.append((np.full(k, sig, np.uint64), np.full(k, n, np.int32), np.arange(k, dtype=np.int32), prefix, salt))
                 size += k
-                if size > 500_000:
+                if size > 200_000:
                     yield batch(parts)
                     parts, size = [], 0
             if parts:
