@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +36,13 @@ def word_hashes(words: list[bytes] | np.ndarray) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
+def give_back() -> None:
+    """Returns freed memory to the system, which allocators else keep for a worker's whole life."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def texts_word_hashes(texts: pa.Array, lower: bool = True, at_once: int = 4 << 20) -> Iterator[np.ndarray]:
     """For each text what word_hashes(words_of(text, lower)) gives; about at_once bytes of text are split at a time, and
     each distinct word among them is hashed once."""
@@ -49,8 +57,11 @@ def texts_word_hashes(texts: pa.Array, lower: bool = True, at_once: int = 4 << 2
         coded = flat.filter(pa.array(full)).dictionary_encode()
         hashes = word_hashes(coded.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False))[coded.indices.to_numpy()]
         ends = np.concatenate([[0], np.cumsum(full)])[ends]
+        del part, lists, flat, full, coded
         for a, z in zip([0, *ends[:-1]], ends, strict=True):
             yield hashes[a:z]
+        del hashes
+        give_back()
 
 
 def sorted_distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

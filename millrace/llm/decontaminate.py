@@ -6,8 +6,9 @@ word of every text:
 
 1. A window within k edits of an item shares at least length - 7 - 8 k of its 8-grams; windows with fewer hits in the items'
    8-grams (of a few classes together) cannot match and are passed over. This bound loses nothing.
-2. The rest is embedded by CGK random walks, which turn edit distance into Hamming distance; `tables` samples of `bits`
-   positions from each of `walks` embeddings are looked up among the items' own. Enough repetitions reach the target recall.
+2. The rest is embedded by CGK random walks, which turn edit distance into Hamming distance; several samples of a few
+   positions from each of several embeddings are looked up among the items' own (REPEATS). Enough repetitions reach the
+   target recall, 0.9.
 3. Each (text, item) that meets in a table is verified by its exact edit distance (bit-parallel, semi-global).
 
 Items so short that the bound says nothing are verified wherever one of edits + 1 pieces of them occurs, which loses nothing,
@@ -20,6 +21,7 @@ null ids are allowed, and a null item id comes out as -1. Empty tables give no r
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import reduce
 
@@ -28,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import mix, text_key, without, words_of, written
+from millrace.llm.common import give_back, mix, text_key, without, words_of, written
 
 Q = 8
 PAD = 64
@@ -76,10 +78,15 @@ def grams(data: np.ndarray) -> np.ndarray:
     return ((words * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BUCKETS)).astype(np.int64)
 
 
+#: Up to so many edits: walks, tables of each and sampled bits. More edits let embeddings drift further apart, so longer
+#: items take more repetitions and then fewer bits; each row reaches a recall of 0.95 or more at the full number of edits.
+REPEATS = [(20, 6, 6, 5), (40, 10, 10, 5), (math.inf, 10, 12, 3)]
+
+
 class Index:
     """Tables of one block of items."""
 
-    def __init__(self, items: list[tuple[int, bytes]], max_edit: float, walks: int, tables: int, bits: int, seed: int) -> None:
+    def __init__(self, items: list[tuple[int, bytes]], max_edit: float, seed: int) -> None:
         self.max_edit = max_edit
         self.items = items
         self.short = [k for k, (_, t) in enumerate(items) if self.need(len(t)) < 4]
@@ -94,6 +101,7 @@ class Index:
             bit = np.uint8(1 << len(self.classes) % 8)
             for k in group:
                 self.mask[grams(np.frombuffer(items[k][1], np.uint8))] |= bit
+            walks, tables, bits = next(r[1:] for r in REPEATS if self.edits(size) <= r[0])
             steps = 2 * size
             moves = rng.integers(0, 2, (walks, steps, 256), dtype=np.int8)
             picks = [[np.sort(rng.choice(steps, min(bits, steps), replace=False)) for _ in range(tables)] for _ in range(walks)]
@@ -224,13 +232,13 @@ def find_passages(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id",
     return reduce(DataFrame.union, found)
 
 
-def _one_pass(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, max_edit: float = 0.08, walks: int = 10, tables: int = 12, bits: int = 3, block_items: int = 2_000, seed: int = 11) -> DataFrame:
+def _one_pass(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, max_edit: float = 0.08, block_items: int = 2_000, seed: int = 11) -> DataFrame:
     known = sorted({(-1 if i is None else i, t) for i, t in ((r[0], normal(r[1])) for r in items.toLocalIterator()) if t})
     sent = docs.sparkSession.sparkContext.broadcast(known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = sent.value
-        indexes = [Index(known[i : i + block_items], max_edit, walks, tables, bits, seed) for i in range(0, len(known), block_items)]
+        indexes = [Index(known[i : i + block_items], max_edit, seed) for i in range(0, len(known), block_items)]
         for b in batches:
             ids, keys = b.column(0).to_pylist(), b.column(1).to_pylist()
             best: dict[tuple[int, int], tuple] = {}
@@ -238,6 +246,7 @@ def _one_pass(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, max
             size = base = 0
 
             def flush(base: int, held: list[bytes], best: dict = best) -> None:
+                give_back()
                 for index in indexes:
                     for text, item, edits, start, end in scan_block(index, held):
                         key = (base + text, index.items[item][0])

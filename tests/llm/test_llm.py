@@ -353,7 +353,7 @@ def test_decontamination_recall():
     random.seed(2)
     word = lambda: "".join(random.choice("aeioutnrsl") for _ in range(random.randrange(2, 9)))
     items = [(i, " ".join(word() for _ in range(40)).encode()) for i in range(60)]
-    index = decontaminate.Index(items, 0.08, 10, 12, 3, 11)
+    index = decontaminate.Index(items, 0.08, 11)
     texts = []
     for _, t in items:
         s = list(t.decode())
@@ -369,7 +369,7 @@ def test_decontamination_recall():
 def test_decontamination_of_short_items():
     for n, texts in ((5, [b"(hills).", b"hills", b"hill"]), (14, [b"x (over the hills).", b"an over tha hills", b"ovr the hills y", b"ovr tha hills"]), (25, [b"so over the hills twice, now!", b"over tha hils twice, now", b"ovr tha hils twice, now"])):
         item = {5: b"hills", 14: b"over the hills", 25: b"over the hills twice, now"}[n]
-        index = decontaminate.Index([(0, item)], 0.08, 10, 12, 3, 11)
+        index = decontaminate.Index([(0, item)], 0.08, 11)
         k = index.edits(len(item))
         want = {(i, decontaminate.edit_match(item, t)[0]) for i, t in enumerate(texts) if decontaminate.edit_match(item, t)[0] <= k}
         got = decontaminate.scan_block(index, texts)
@@ -566,7 +566,7 @@ def test_decontamination_recall_by_length(size):
     random.seed(size)
     letters = "aeioutnrsl dhmc"
     items = [(i, decontaminate.normal("x" + "".join(random.choice(letters) for _ in range(size * 2)))[:size].strip()) for i in range(25)]
-    index = decontaminate.Index(items, 0.08, 10, 12, 3, 11)
+    index = decontaminate.Index(items, 0.08, 11)
     texts = []
     for _, t in items:
         s = list(t.decode())
