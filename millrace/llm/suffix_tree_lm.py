@@ -11,11 +11,12 @@ retained contexts say (count times Kullback-Leibler divergence above `gain` nats
 distribution is smoothed towards theirs with weight T / (n + T), T the distinct symbols seen (Witten and Bell), and the
 root's towards all code points evenly. Each symbol is scored in its longest retained context.
 
-The tree is never in one place, and it grows with the corpus: no bound but `least` limits it. The symbols of all keys, those
-of held-out texts with count 0, are dealt by the last three symbols of their histories, so that all contexts of three symbols
-and more that a symbol needs lie in one task with it; the probabilities from contexts of none, one and two symbols are joined
-to them before. A task sorts its histories, in which every context is a stretch, and prices each symbol. Prices are summed
-per key.
+The tree is never in one place, and it grows with the corpus: no bound but `least` limits it. Distinct keys are written in
+blocks. A block's distinct pairs of history and symbol, those of held-out texts alone with count 0, are dealt by the last two
+symbols of their histories and one of `SUBS` classes of the third, so that all contexts of three symbols and more that a
+symbol needs lie in one task with it; the probabilities from contexts of none, one and two symbols are sent to the tasks that
+need them. A task sorts its histories, in which every context is a stretch, and prices each pair. Prices go back to the
+block, which sums them per key. What is dealt and what comes back is packed by columns, a row for each block and task.
 
 Keys that hold at least 1 / `share` of all words or joints are at most `share` each; their hashes and prices, 25 bytes each,
 are broadcast. All others are joined by hash, after each text has counted its own. Keys are named by 64-bit hashes.
@@ -28,6 +29,7 @@ rows. Empty tables give no rows. Other columns are ignored.
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 
@@ -35,10 +37,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import fold, maybe_broadcast, mix, release, sorted_distinct, written
+from millrace.llm.common import discard, fold, mix, release, sorted_distinct, written
 
 START, END = 0x110000, 0x110001
 CODE_POINTS = 0x110002
@@ -46,8 +49,10 @@ CODE_POINTS = 0x110002
 REACH = 3
 #: The longest history that three 63-bit numbers hold, and the bits of a symbol.
 LONGEST, WIDTH = 8, 21
-#: Characters of words that are worked on at once, words of texts, and symbols that are priced at once.
-BLOCK, WORDS, SYMBOLS = 1_000_000, 800_000, 500_000
+#: Bytes of words in a block, words of texts that are worked on at once, and edges that are priced at once.
+BLOCK, WORDS, SYMBOLS = 1_000_000, 800_000, 4_000_000
+#: Bytes of words whose edges are dealt to a task, and classes of the third symbol of a history.
+DEALT, SUBS = 1_000_000, 16
 
 
 def _flat(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -163,25 +168,133 @@ def word_counts(docs: DataFrame, held_out: int) -> DataFrame:
     return rows.groupBy("h", "word").agg(F.sum("c").alias("c"), F.sum("a").alias("a"))
 
 
-JOINT = "locate(' ', cast(word as string)) > 0"
+def pack(*columns: np.ndarray) -> bytes:
+    """Columns of numbers, bytes of equal weight side by side, compressed."""
+    planes = [np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T).tobytes() for x in columns]
+    return pa.compress(b"".join(planes), codec="zstd", asbytes=True) if len(columns[0]) else b""
 
 
-def _key_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list[bytes], np.ndarray]]:
-    """Batches of (hash, word, count) in blocks of about BLOCK characters."""
+def unpack(blob: bytes, n: int, *kinds: type) -> list[np.ndarray]:
+    widths = [np.dtype(k).itemsize for k in kinds]
+    raw = np.frombuffer(pa.decompress(blob, n * sum(widths), codec="zstd", asbytes=True) if n else b"", np.uint8)
+    ends = np.cumsum(widths) * n
+    return [np.ascontiguousarray(raw[z - w * n : z].reshape(w, n).T).view(k).reshape(n) for k, w, z in zip(kinds, widths, ends, strict=True)]
+
+
+def key_blocks(counts: DataFrame) -> DataFrame:
+    """Keys (h, word, c, a) in blocks of about BLOCK bytes, a row each: block (a number), n (keys), size (bytes of their words),
+    numbers (h, c, a and the words' sizes, packed), words; and of the block's words, not its joints, the sums of c and a and the
+    number of those with c, and c of the texts' ends, which is no key."""
+    most = BLOCK
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get().partitionId()
+        number = itertools.count()
+        held, size = [], 0
+
+        def out() -> pa.RecordBatch:
+            t = pa.Table.from_batches(held).combine_chunks()
+            t = t.take(pc.sort_indices(t.column("word")))
+            words = t.column("word").combine_chunks()
+            c, a = (t.column(k).to_numpy() for k in ("c", "a"))
+            joint = pc.match_substring(words, b" ").to_numpy(zero_copy_only=False)
+            full = pc.binary_length(words).to_numpy()
+            keys = full > 0
+            plain = b"".join(words.to_pylist())
+            row = {
+                "block": task << 32 | next(number), "n": int(keys.sum()), "size": len(plain), "numbers": pack(*(x[keys] for x in (t.column("h").to_numpy(), c, a, full))), "words": pa.compress(plain, codec="zstd", asbytes=True) if plain else b"",
+                "trained": int(c[~joint].sum()), "all": int(a[~joint].sum()), "kinds": int((c[~joint] > 0).sum()), "ends": int(c[~keys].sum()),
+            }
+            return pa.RecordBatch.from_pylist([row])
+
+        for b in batches:
+            ends = size + np.cumsum(pc.binary_length(b.column(1)).to_numpy().astype(np.int64))
+            lo = 0
+            while lo < b.num_rows:
+                hi = min(int(np.searchsorted(ends, most)) + 1, b.num_rows)
+                held.append(b.slice(lo, hi - lo))
+                size, lo = int(ends[hi - 1]), hi
+                if size >= most:
+                    yield out()
+                    ends -= size
+                    held, size = [], 0
+        if held:
+            yield out()
+
+    return counts.mapInArrow(run, BLOCK_SCHEMA)
+
+
+BLOCK_SCHEMA = "block long, n long, size long, numbers binary, words binary, trained long, all long, kinds long, ends long"
+BLOCK_COLUMNS = ("block", "n", "size", "numbers", "words")
+
+
+def block_keys(n: int, size: int, numbers: bytes, words: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+    """A block's hashes, counts in training rows, counts in all rows, and words."""
+    h, c, a, sizes = unpack(numbers, n, np.int64, np.int64, np.int64, np.int32)
+    plain = pa.decompress(words, size, codec="zstd", asbytes=True) if size else b""
+    ends = np.cumsum(sizes, dtype=np.int64).tolist()
+    return h, c, a, [plain[i:j] for i, j in zip([0, *ends], ends)]
+
+
+def bucket_of(h12: np.ndarray, sub: np.ndarray, buckets: int) -> np.ndarray:
+    return (mix(mix(h12.astype(np.uint64)) + sub.astype(np.uint64)) % np.uint64(buckets)).astype(np.int32)
+
+
+def sub_of(symbol: np.ndarray) -> np.ndarray:
+    return mix(symbol.astype(np.uint64)) % np.uint64(SUBS)
+
+
+def distinct_edges(words: list[bytes], depth: int, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each scored symbol its key (index in words) and its edge; of each edge, a distinct pair of history and symbol, the
+    history, nearest first [depth, edges], the symbol, and the bucket. Edges come by bucket, then by history."""
+    found = list(symbols_of(words, depth))
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((depth, 0), np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+    own, sym, back = (np.concatenate(x, axis=-1) for x in zip(*found, strict=True))
+    # Numbers of the codes that occur, so that few integers hold a history.
+    seen = np.zeros(END + 2, bool)
+    for x in (*back, sym + 1):
+        seen[x] = True
+    small = np.cumsum(seen) - 1
+    bits = max(1, int(small[-1]).bit_length())
+    keys = []
+    for i, x in enumerate((*back, sym + 1)):
+        if i % (63 // bits) == 0:
+            keys.append(np.zeros(len(sym), np.int64))
+        keys[-1] <<= bits
+        keys[-1] |= small[x]
+    order = np.argsort(keys[0]) if len(keys) == 1 else np.lexsort(keys[::-1])
+    new = np.ones(len(order), bool)
+    new[1:] = np.logical_or.reduce([np.diff(k[order]) != 0 for k in keys]) if len(order) else True
+    edge = np.empty(len(order), np.int64)
+    edge[order] = np.cumsum(new) - 1
+    first = order[new]
+    back, sym = back[:, first], sym[first]
+    bucket = bucket_of(back[0] << WIDTH | back[1], sub_of(back[2]), buckets)
+    by = np.argsort(bucket, kind="stable")
+    place = np.empty(len(by), np.int64)
+    place[by] = np.arange(len(by))
+    return own, place[edge], back[:, by], sym[by], bucket[by]
+
+
+def stretches(bucket: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """Each bucket of a sorted array, and where it lies."""
+    first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, np.int64)
+    for lo, hi in zip(first.tolist(), [*first[1:].tolist(), len(bucket)], strict=False):
+        yield int(bucket[lo]), lo, hi
+
+
+def block_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     for b in batches:
-        words = b.column(1).to_pylist()
-        hashes, n = b.column(0).to_numpy(), b.column(2).to_numpy()
-        sizes = np.cumsum([len(w) + 2 for w in words]) if words else np.zeros(0, np.int64)
-        cuts = np.unique(np.concatenate([[0], np.searchsorted(sizes, np.arange(BLOCK, sizes[-1] if len(sizes) else 0, BLOCK)), [len(words)]]))
-        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-            yield hashes[lo:hi], words[lo:hi], n[lo:hi]
+        for i in range(b.num_rows):
+            yield tuple(b.column(k)[i].as_py() for k in range(b.num_columns))
 
 
-def short_prices(keys: DataFrame, least: int, gain: float) -> DataFrame:
+def short_prices(blocks: DataFrame, least: int, gain: float) -> DataFrame:
     """Rows (h12, sym, p2): the probability of each symbol behind each two symbols, from contexts of two, one and none."""
 
     def triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, words, n in _key_blocks(batches):
+        for _, n, _, words in (block_keys(*r) for r in block_rows(batches)):
             for own, sym, back in symbols_of(words, 2):
                 key = back[0] << 2 * WIDTH | back[1] << WIDTH | sym
                 order = np.argsort(key)
@@ -199,7 +312,7 @@ def short_prices(keys: DataFrame, least: int, gain: float) -> DataFrame:
         stays = allowed & (F.col("t") >= least) & (F.col("gained") > gain * F.col("kinds"))
         return edges.join(states, state).withColumn(q, F.when(stays, (F.col("n") + F.col("kinds") * F.col(p)) / (F.col("t") + F.col("kinds"))).otherwise(F.col(p)))
 
-    edges = written(keys.mapInArrow(triples, "h12 long, sym int, n long").groupBy("h12", "sym").agg(F.sum("n").alias("n")), "triples")
+    edges = written(blocks.select(*BLOCK_COLUMNS[1:]).mapInArrow(triples, "h12 long, sym int, n long").groupBy("h12", "sym").agg(F.sum("n").alias("n")), "triples")
     root = edges.groupBy("sym").agg(F.sum("n").alias("n0"))
     total, kinds = root.agg(F.coalesce(F.sum("n0"), F.lit(0)), F.count(F.when(F.col("n0") > 0, 1))).first()
     # At most one row a code point.
@@ -253,48 +366,94 @@ def price_symbols(e0: np.ndarray, e1: np.ndarray, e2: np.ndarray, sym: np.ndarra
     return out
 
 
-def key_prices(keys: DataFrame, depth: int, least: int, gain: float) -> DataFrame:
-    """keys: h, word, c. Rows (h, ls): the sum of log10 of the probabilities of a key's scored symbols; none for a key without."""
+def key_prices(blocks: DataFrame, depth: int, least: int, gain: float) -> DataFrame:
+    """blocks: of key_blocks, stored. Rows (h, c, a, joint, ls): ls is the sum of log10 of the probabilities of a key's scored
+    symbols."""
     if not 3 <= depth <= LONGEST:
         raise ValueError(f"histories have 3 to {LONGEST} symbols")
+    spark = blocks.sparkSession
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(tasks, (blocks.agg(F.sum("size")).first()[0] or 0) // DEALT)
+    kinds = [np.int32] * (depth + 1) + [np.int64]
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for h, words, n in _key_blocks(batches):
-            for own, sym, back in symbols_of(words, depth):
-                back = np.concatenate([back, np.zeros((9 - depth, back.shape[1]), np.int64)])
-                three = [pa.array(back[i] << 2 * WIDTH | back[i + 1] << WIDTH | back[i + 2]) for i in (0, 3, 6)]
-                yield pa.RecordBatch.from_arrays([pa.array(h[own]), *three, pa.array(sym.astype(np.int32)), pa.array(n[own])], ["h", "e0", "e1", "e2", "sym", "n"])
+        for block, *packed in block_rows(batches):
+            _, c, _, words = block_keys(*packed)
+            own, edge, back, sym, bucket = distinct_edges(words, depth, buckets)
+            n = np.bincount(edge, c[own], len(sym)).astype(np.int64)
+            back, sym = back.astype(np.int32), sym.astype(np.int32)
+            rows = [(k, block, hi - lo, pack(*back[:, lo:hi], sym[lo:hi], n[lo:hi])) for k, lo, hi in stretches(bucket)]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), BLOB_TYPES, strict=True)], names)
+
+    def spread_near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            h12, sym, p = (b.column(i).to_numpy() for i in range(3))
+            at = np.repeat(np.arange(len(h12)), SUBS)
+            bucket = bucket_of(h12[at], np.tile(np.arange(SUBS), len(h12)), buckets)
+            # With few buckets several classes of a history's third symbol share one.
+            both = sorted_distinct(bucket.astype(np.int64) << 32 | at)[0]
+            bucket, at = both >> 32, both & 0xFFFFFFFF
+            key = h12 << WIDTH | sym
+            rows = [(k, -1, hi - lo, pack(key[at[lo:hi]], p[at[lo:hi]])) for k, lo, hi in stretches(bucket)]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), BLOB_TYPES, strict=True)], names)
 
     def price(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = []
-        size = 0
-
-        def out(cols: list[np.ndarray]) -> pa.RecordBatch:
-            p = price_symbols(*cols[1:], depth, least, gain)
-            order = np.argsort(cols[0])
-            h, ls = cols[0][order], np.log10(p[order])
-            first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-            return pa.RecordBatch.from_arrays([pa.array(h[first]), pa.array(np.add.reduceat(ls, first))], ["h", "ls"])
-
-        for b in batches:
-            held.append([b.column(i).to_numpy() for i in range(7)])
-            size += b.num_rows
-            if size >= SYMBOLS:
-                cols = [np.concatenate(x) for x in zip(*held, strict=True)]
-                # Rows come in order of e0: the last group may go on.
-                cut = int(np.searchsorted(cols[1], cols[1][-1]))
-                if cut:
-                    yield out([x[:cut] for x in cols])
-                held, size = [[x[cut:] for x in cols]], len(cols[0]) - cut
-        if size:
-            yield out([np.concatenate(x) for x in zip(*held, strict=True)])
-
-    near = written(short_prices(keys, least, gain), "short")
-    rows = keys.mapInArrow(spread, "h long, e0 long, e1 long, e2 long, sym int, n long").withColumn("h12", F.shiftright("e0", WIDTH))
-    rows = rows.join(maybe_broadcast(near, near.count()), ["h12", "sym"]).select("h", "e0", "e1", "e2", "sym", "n", "p2")
-    # Histories of fewer than three symbols have no longer context to wait for, so they go anywhere.
-    where = F.when(F.col("e0").bitwiseAND(F.lit((1 << WIDTH) - 1)) > 0, F.col("e0")).otherwise(F.col("h"))
-    return rows.repartition(where).sortWithinPartitions("e0").mapInArrow(price, "h long, ls double").groupBy("h").agg(F.sum("ls").alias("ls"))
+        near, mine = [], []
+        for row in block_rows(batches):
+            (near if row[1] < 0 else mine).append(row)
+        if not mine:
+            return
+        key, p_near = (np.concatenate(x) for x in zip(*(unpack(blob, n, np.int64, np.float64) for _, _, n, blob in near), strict=True))
+        order = np.argsort(key)
+        key, p_near = key[order], p_near[order]
+        ends = np.cumsum([n for _, _, n, _ in mine])
+        prices = np.empty(ends[-1])
+        passes = int(-(-ends[-1] // SYMBOLS))
+        for turn in range(passes):
+            cols, at = [], []
+            for (_, _, n, blob), end in zip(mine, ends, strict=True):
+                *back, sym, count = unpack(blob, n, *kinds)
+                back = [x.astype(np.int64) for x in back] + [np.zeros(n, np.int64)] * (9 - depth)
+                e = [back[i] << 2 * WIDTH | back[i + 1] << WIDTH | back[i + 2] for i in (0, 3, 6)]
+                # All histories that end in the same three symbols have the same turn.
+                here = np.arange(n) if passes == 1 else np.flatnonzero(mix(e[0].astype(np.uint64)) % np.uint64(passes) == turn)
+                cols.append([x[here] for x in (*e, sym.astype(np.int64), count)])
+                at.append(here + (end - n))
+            e0, e1, e2, sym, count = (np.concatenate(x) for x in zip(*cols, strict=True))
+            wanted = e0 >> WIDTH << WIDTH | sym
+            found = find(key, wanted)
+            if len(found) and found.min() < 0:
+                raise RuntimeError("a symbol without a probability from its last two symbols")
+            prices[np.concatenate(at)] = np.log10(price_symbols(e0, e1, e2, sym, count, p_near[found], depth, least, gain))
+        for (bucket, block, n, _), end in zip(mine, ends, strict=True):
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([bucket], pa.int32()), pa.array([n], pa.int64()), pa.array([pack(prices[end - n : end])], pa.binary())], ["block", "bucket", "n", "numbers"])
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Of each block its own row comes first, then its prices by bucket.
+        for _, (own_row, *priced) in itertools.groupby(block_rows(batches), lambda r: r[0]):
+            h, c, a, words = block_keys(*own_row[2:])
+            own, edge, _, sym, _ = distinct_edges(words, depth, buckets)
+            p = np.concatenate([np.zeros(0), *(unpack(blob, n, np.float64)[0] for _, _, n, _, blob, _ in priced)])
+            if own_row[1] != -1 or len(p) != len(sym):
+                raise RuntimeError("a block's prices are not those of its symbols")
+            joint = np.fromiter((b" " in w for w in words), bool, len(words))
+            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(c), pa.array(a), pa.array(joint), pa.array(np.bincount(own, p[edge], len(words)))], ["h", "c", "a", "joint", "ls"])
+
+    names = ["bucket", "block", "n", "blob"]
+    schema = "bucket int, block long, n long, blob binary"
+    near = written(short_prices(blocks, least, gain), "short")
+    dealt = blocks.select(*BLOCK_COLUMNS).mapInArrow(spread, schema).union(near.mapInArrow(spread_near, schema))
+    priced = dealt.repartitionById(buckets, "bucket").mapInArrow(price, "block long, bucket int, n long, numbers binary")
+    none = F.lit(None).cast("binary")
+    both = blocks.select("block", F.lit(-1).alias("bucket"), "n", "size", "numbers", "words").union(priced.select("block", "bucket", "n", F.lit(0).cast("long"), "numbers", none))
+    # A block's number is that of the task that made it, and how many that task had made before.
+    turn = F.shiftright("block", 32) + F.col("block").bitwiseAND(F.lit(0xFFFFFFFF)) * F.lit(7919)
+    return both.repartitionById(tasks, F.pmod(turn, F.lit(tasks)).cast("int")).sortWithinPartitions("block", "bucket").mapInArrow(summed, "h long, c long, a long, joint boolean, ls double")
+
+
+BLOB_TYPES = (pa.int32(), pa.int64(), pa.int64(), pa.binary())
 
 
 def find(hashes: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -309,21 +468,21 @@ def lm_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    counts = written(word_counts(docs, held_out), "words").withColumn("joint", F.expr(JOINT))
+    blocks = written(key_blocks(word_counts(docs, held_out)), "keys")
     release(spark)
-    ends, total, distinct, everything = counts.where("not joint").agg(F.max(F.when(F.length("word") == 0, F.struct("c", "a"))), F.sum("c"), F.count(F.when(F.col("c") > 0, 1)), F.sum("a")).first()
-    total, distinct, everything = total or 0, distinct or 0, everything or 0
-    texts = ends["c"] if ends else 0
+    total, everything, distinct, texts = (x or 0 for x in blocks.agg(F.sum("trained"), F.sum("all"), F.sum("kinds"), F.sum("ends")).first())
     base = math.log10(total + 0.1 * (distinct + 1))
     # A text is words and an end: the end's share among training tokens is its probability, the others' go to words.
     end = math.log10((texts + 0.5) / (total + 1))
     go = math.log10((total - texts + 0.5) / (total + 1))
     end_base = math.log10(texts + 0.1) - base
 
-    keys = counts.where(F.length("word") > 0)
-    found = key_prices(keys.select("h", "word", "c"), depth, least, gain)
-    own = keys.select("h", "a", (~F.col("joint") & (F.col("c") > 0)).alias("known"), F.when(F.col("joint"), 0.0).otherwise(F.log10(F.col("c") + F.lit(0.1)) - base).alias("lb"), F.when(F.col("joint"), 0.0).otherwise(go).alias("go"))
-    prices = written(own.join(found, "h", "left").select("h", "a", "known", "lb", (F.col("go") + F.coalesce("ls", F.lit(0.0))).alias("ls")), "prices")
+    def unless_joint(x: Column) -> Column:
+        return F.when(F.col("joint"), 0.0).otherwise(x)
+
+    found = key_prices(blocks, depth, least, gain)
+    prices = written(found.select("h", "a", (~F.col("joint") & (F.col("c") > 0)).alias("known"), unless_joint(F.log10(F.col("c") + F.lit(0.1)) - base).alias("lb"), (unless_joint(F.lit(go)) + F.col("ls")).alias("ls")), "prices")
+    discard(blocks)
     floor = max(1, everything // share)
     often = prices.where(F.col("a") >= floor).select("h", "known", "lb", "ls").toArrow()
     order = np.argsort(often.column("h").to_numpy())

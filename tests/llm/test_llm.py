@@ -3,10 +3,12 @@
 import functools
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -201,6 +203,45 @@ def test_lm_prices_in_pieces(spark, monkeypatch):
         assert r.score == pytest.approx(whole[r.doc_id])
 
 
+def shuffled_bytes(spark):
+    executors = spark.sparkContext._jsc.sc().statusStore().executorList(False)
+    return sum(executors.apply(i).totalShuffleWrite() for i in range(executors.size()))
+
+
+def test_lm_shuffles_no_row_a_symbol(spark):
+    df = spark.read.parquet(f"{SF}/documents.parquet")
+    text = df.agg(F.sum(F.octet_length("text"))).first()[0]
+    before = shuffled_bytes(spark)
+    suffix_tree_lm.lm_scores(df).write.format("noop").mode("overwrite").save()
+    assert 0 < shuffled_bytes(spark) - before < 14 * text
+
+
+def test_lm_many_code_points_blocks_and_passes(spark, monkeypatch):
+    rng = random.Random(5)
+    letters = [chr(0x4E00 + i) for i in range(300)] + list("abc\U0001f600\U0010ffff")
+    words = ["".join(rng.choices(letters[-5:], k=rng.randint(1, 12))) for _ in range(60)] + ["".join(rng.choices(letters, k=rng.randint(1, 12))) for _ in range(300)]
+    texts = dict(enumerate([" ".join(rng.choices(words, k=rng.randint(0, 60))) for _ in range(80)] + [None, ""]))
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    train = [t for i, t in texts.items() if zlib.crc32(str(i).encode()) % 10]
+    tokens = [w for t in train for w in [*(t or "").split(), 0]]
+    go, end = math.log10((len(tokens) - len(train) + 0.5) / (len(tokens) + 1)), math.log10((len(train) + 0.5) / (len(tokens) + 1))
+    log10 = brute_lm(train, 8, 10, 0.7)[0]
+    monkeypatch.setattr(suffix_tree_lm, "SYMBOLS", 100)
+    monkeypatch.setattr(suffix_tree_lm, "DEALT", 300)
+    monkeypatch.setattr(suffix_tree_lm, "BLOCK", 500)
+    got = suffix_tree_lm.lm_scores(df).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        assert r.score == pytest.approx(log10(texts[r.doc_id]) + go * (r.n_tokens - 1) + end)
+
+
+def test_packed_columns():
+    for n in (0, 1, 1000):
+        columns = [np.arange(n) - 5, np.arange(n, dtype=np.int32) * -7, np.linspace(-3, 9, n)]
+        for x, y in zip(columns, suffix_tree_lm.unpack(suffix_tree_lm.pack(*columns), n, np.int64, np.int32, np.float64), strict=True):
+            assert (x == y).all() and len(y) == n
+
+
 def test_lm_contexts_of_eight_symbols(spark):
     df = spark.createDataFrame([(i, "abcdefgx zbcdefgy") for i in range(60)] + [(100, "abcdefgx"), (101, "abcdefgy")], "doc_id long, text string")
     score = {r.doc_id: r.score for r in suffix_tree_lm.lm_scores(df).where("doc_id >= 100").collect()}
